@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, shuffle_partitions
 
 #: Width of a length class in tokens: classes round lengths up to a multiple of it.
-GRAIN = 4
+GRAIN = 8
 #: The linear program stops within this share of its lower bound.
 GAP = 5e-4
 #: Pieces that one ranking group should hold at most, on average.
