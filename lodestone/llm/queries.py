@@ -24,9 +24,42 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BPE)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
+    "op3_minhash": op3_minhash,
+    "op5_secrets": op5_secrets,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+_OP2 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS x FROM p),
+f AS (SELECT page_id, n, x, min(page_id) OVER (PARTITION BY x) AS f FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST(('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5)) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INT)) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f THEN f END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": _OP2}
