@@ -107,7 +107,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         base, size = 0xD1342543DE82EF95, max(n, CHUNK_BYTES + 4096)
         inverse = pow(base, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (base, inverse)]
+        factors = np.ones((2, size), np.uint64)
+        factors[0, 1:], factors[1, 1:] = base, inverse
+        _POWERS[:] = np.cumprod(factors, axis=1, dtype=np.uint64)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
