@@ -2,8 +2,10 @@
 
 Fitting. Labels are learned only from documents outside the held-out fold. At most EXAMPLES documents of each
 class are examples (the documents with the smallest hash of their id): that bound is the one on the model, and
-everything that is broadcast depends on it and on TERMS alone. Terms are words and word beginnings; those whose
-presence differs most between the classes (G statistic) make the vocabulary.
+everything that is broadcast depends on it and on TERMS alone. Terms are words and word beginnings, once more
+for their second and third occurrence in a text; those whose
+presence marks toxic examples most (G statistic, at least RATIO times the other class's rate; equal texts count
+once) make the vocabulary.
 
 Scoring. Each document's TF-IDF vector over the vocabulary is compared with the examples. Postings are grouped
 in blocks of examples; a block whose bound (query weights times the block's greatest weights) cannot beat the
@@ -34,6 +36,8 @@ from lodestone.llm.common import cut
 #: Labelled examples of each class at most, and terms of the vocabulary at most.
 EXAMPLES = 3000
 TERMS = 4000
+#: Least ratio of a term's rates in toxic and other examples.
+RATIO = 4
 #: Least G statistic of a term, neighbours that vote, examples of a block, weight of the prior.
 GAIN = 15.0
 K = 15
@@ -41,6 +45,8 @@ BLOCK = 64
 PRIOR = 0.1
 #: Lengths of word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
+#: Occurrences in one text up to which each makes a further term.
+REPEATS = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,11 +61,13 @@ def terms_of(word: str) -> list[str]:
 
 
 def counts(text: str) -> Counter:
-    """Term frequencies of a text."""
+    """Term frequencies of a text. A term that stands twice, three times in it is a further term each time."""
     found: Counter = Counter()
     for word, n in Counter(_WORD.findall(text.lower())).items():
         for term in terms_of(word):
             found[term] += n
+    for i in range(2, REPEATS + 1):
+        found.update({f"{t}*{i}": n for t, n in found.items() if n >= i and "*" not in t})
     return found
 
 
@@ -79,6 +87,7 @@ class Index:
     most: np.ndarray  # (terms, blocks): greatest weight
     seen: dict = field(default_factory=dict)
     of_word: dict = field(default_factory=dict)
+    bases: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, terms: list[str], idf: np.ndarray, rows: list[tuple], weights: dict[int, float], prior: float) -> "Index":
@@ -104,16 +113,21 @@ class Index:
 
     def vector(self, text: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Vocabulary terms of a text and their frequencies."""
-        tf: dict[int, int] = {}
+        if not self.bases:
+            for name, i in self.terms.items():
+                base, _, times = name.partition("*")
+                self.bases.setdefault(base, [-1] * REPEATS)[int(times or 1) - 1] = i
+        total: dict[str, int] = {}
         of = self.of_word
         if len(of) > 500_000:
             of.clear()
         for word, n in Counter(_WORD.findall(text.lower())).items():
             hits = of.get(word)
             if hits is None:
-                hits = of[word] = [i for t in terms_of(word) if (i := self.terms.get(t)) is not None]
-            for i in hits:
-                tf[i] = tf.get(i, 0) + n
+                hits = of[word] = [t for t in terms_of(word) if t in self.bases]
+            for t in hits:
+                total[t] = total.get(t, 0) + n
+        tf = {i: n for t, n in total.items() for times, i in enumerate(self.bases[t], 1) if i >= 0 and n >= times}
         keys = sorted(tf)
         return tuple(keys), tuple(tf[k] for k in keys)
 
@@ -166,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES) for y in (0, 1)]
     chosen = parts[0].union(parts[1])  # at most 2 * EXAMPLES rows
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    sample = cut(texts)
+    sample = cut(texts.dropDuplicates(["text", "y"]))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = total.get(1, 0) / max(sum(total.values()), 1)
     if not sizes.get(0) or not sizes.get(1):
@@ -189,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     miss0, miss1 = F.lit(a) - F.col("n0"), F.lit(b) - F.col("n1")
     gain = 2 * (part(F.col("n0"), whole * (a / (a + b))) + part(F.col("n1"), whole * (b / (a + b))) + part(miss0, (F.lit(a + b) - whole) * (a / (a + b))) + part(miss1, (F.lit(a + b) - whole) * (b / (a + b))))
-    picked = found.where("n0 + n1 >= 3").withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    marks = (F.col("n1") + 0.5) / (b + 1) >= RATIO * (F.col("n0") + 0.5) / (a + 1)
+    picked = found.where("n0 + n1 >= 3").where(marks).withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
     terms = [r["term"] for r in picked]
     weights = {0: total[0] / a, 1: total[1] / b}
     spread = np.array([r["n0"] * weights[0] + r["n1"] * weights[1] for r in picked], float)
