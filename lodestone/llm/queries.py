@@ -61,6 +61,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), contents=False).drop("kept")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -69,6 +75,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op7_html": op7_html,
     "op8_toxicity": op8_toxicity,
+    "op9_repeats": op9_repeats,
     "op10_token_counts": op10_token_counts,
 }
 
