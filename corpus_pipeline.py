@@ -1,7 +1,67 @@
-"""placeholder"""
-STAGES = []
+"""A training corpus from raw documents, in five stages.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, and works on all
+documents that the stage before kept. All but the last return the columns of documents:
+
+1. toxicity: documents that score 0.5 or more go.
+2. near_dedup: of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with
+   the smallest id stays. Documents without an id are in no group and stay.
+3. decontamination: documents that hold a benchmark item, re-parameterised ones included, go.
+4. secrets: found spans are replaced by a mark; no document goes, n_chars follows the text.
+5. packing: what is left becomes pieces in sequences of 2048 tokens.
+
+run() writes every stage to the shared folder and reads it back, so a lost executor costs one stage at most.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.llm.common import cut
+from lodestone.llm.minhash import near_duplicates
+from lodestone.llm.packing import pack_documents
+from lodestone.llm.secrets import redact
+from lodestone.llm.templates import contaminated
+from lodestone.llm.toxicity import fit, keep_civil
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_civil(docs, fit(docs, labels, folds_left_out=False))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = near_duplicates(docs, width=5, percent=80)
+    kept = docs.join(found.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # rows with equal ids are one document
+        kept = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    linked = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(linked, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

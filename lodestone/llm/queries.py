@@ -67,12 +67,20 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), contents=False).drop("kept")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.cover_tree import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_minhash": op3_minhash,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
+    "op6_top_k": op6_top_k,
     "op7_html": op7_html,
     "op8_toxicity": op8_toxicity,
     "op9_repeats": op9_repeats,
@@ -91,4 +99,13 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op2_warc": _OP2}
+_OP6 = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, max(CAST(list_sum(list_transform(range(len(q.v)), lambda i: q.v[i + 1] * d.v[i + 1])) AS BIGINT)) AS score
+  FROM v q JOIN v d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": _OP2, "op6_top_k": _OP6}
