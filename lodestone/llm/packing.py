@@ -29,6 +29,8 @@ from lodestone.llm.common import cut, shuffle_partitions
 GRAIN = 8
 #: The linear program stops within this share of its lower bound.
 GAP = 5e-4
+#: Share of the best prices so far in the prices of a round; the rest are the current ones.
+PULL = 0.8
 #: Pieces that one ranking group should hold at most, on average.
 RANK_GROUP = 100_000
 
@@ -125,32 +127,50 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = GAP) -
         return []
     m, need = len(classes), np.array([demand[c] for c in classes], float)
     position = {c: i for i, c in enumerate(classes)}
-    columns = [{c: capacity // c} for c in classes]
+    columns: list[dict[int, int]] = [{c: capacity // c} for c in classes]
+    cost = np.ones(m)
     inverse = np.diag([1.0 / (capacity // c) for c in classes])
     x = inverse @ need
+    centre, bound = np.array(classes) / capacity, 0.0  # prices by size are the first guess at the dual
     for _ in range(40 * m + 200):
-        prices = inverse.sum(axis=0)
-        values = np.full(capacity + 1, -1.0)
-        values[classes] = np.maximum(prices, 0)
-        worth, pattern = knapsack(values, capacity)
-        if worth <= 1 + 1e-9 or x.sum() * (1 - 1 / worth) <= gap * x.sum():  # Farley's bound
-            break
+        out = cost @ inverse
+        pattern: dict[int, int] | None = None
         a = np.zeros(m)
-        for c, k in pattern.items():
-            a[position[c]] = k
+        if out.min() < -1e-9:  # more of that class than is asked for: its surplus enters, without cost
+            pattern = {}
+            a[int(out.argmin())] = -1.0
+        weight = PULL
+        while pattern is None:
+            prices = np.maximum(weight * centre + (1 - weight) * out, 0)
+            values = np.full(capacity + 1, -1.0)
+            values[classes] = prices
+            worth, found = knapsack(values, capacity)
+            if (lower := float(prices @ need) / max(worth, 1e-9)) > bound:  # Farley's bound
+                bound, centre = lower, prices / max(worth, 1e-9)
+            if sum(out[position[c]] * k for c, k in found.items()) > 1 + 1e-9:
+                pattern = found
+                for c, k in found.items():
+                    a[position[c]] = k
+            elif weight == 0:
+                break
+            else:
+                weight = weight / 3 if weight > 0.05 else 0.0
+        if pattern is None or cost @ x - bound <= gap * (cost @ x):
+            break
         d = inverse @ a
         with np.errstate(divide="ignore", invalid="ignore"):
             ratios = np.where(d > 1e-9, np.maximum(x, 0) / d, np.inf)
         r = int(ratios.argmin())
         if not np.isfinite(ratios[r]):
             break
+        step = ratios[r]
         row = inverse[r] / d[r]
         inverse -= np.outer(d, row)
         inverse[r] = row
-        x -= d * ratios[r]
-        x[r] = ratios[r]
-        columns[r] = pattern
-    return [(p, float(v)) for p, v in zip(columns, x) if v > 0]
+        x -= d * step
+        x[r] = step
+        columns[r], cost[r] = pattern, float(bool(pattern))
+    return [(p, float(v)) for p, v in zip(columns, x) if p and v > 0]
 
 
 @dataclass

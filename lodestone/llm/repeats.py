@@ -41,6 +41,8 @@ LENGTH = 50
 ANCHOR = 20
 #: Text handled as one batch in bytes.
 BATCH_BYTES = 8_000_000
+#: Buckets of each shuffle partition; a task orders one of its buckets at a time.
+FINE = 16
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -122,24 +124,23 @@ def _per_document(ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int,
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce: the places of anchors whose key stands in several documents, by document."""
-    ids, keys, places = [], [], []
+    held: dict[int, list[tuple]] = {}
     for batch in batches:
-        for b, i, s, k, p in zip(*(batch.column(c) for c in ("bucket", "ids", "sizes", "keys", "places"))):
-            key = np.frombuffer(k.as_buffer(), np.uint32).astype(np.uint64) | np.uint64(b.as_py()) << np.uint64(32)
-            ids.append(np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(s.as_buffer(), np.uint32)))
-            keys.append(key)
-            places.append(np.frombuffer(p.as_buffer(), np.uint32).copy())
-    if not keys:
-        return
-    ids, keys, places = np.concatenate(ids), np.concatenate(keys), np.concatenate(places)
-    order = np.argsort(keys, kind="stable")
-    sorted_keys, sorted_ids = keys[order], ids[order]
-    heads = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
-    several = np.minimum.reduceat(sorted_ids, heads) < np.maximum.reduceat(sorted_ids, heads)
-    good = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
-    rows = [(key, p.tobytes()) for key, (p,) in _per_document(ids[good], places[good])]
-    for lo in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), _ID_BLOB.types)], schema=_ID_BLOB)
+        for b, *blobs in zip(batch.column("bucket").to_pylist(), *(batch.column(c) for c in ("ids", "sizes", "keys", "places"))):
+            held.setdefault(b, []).append(tuple(x.as_py() for x in blobs))
+    for b in list(held):
+        parts = held.pop(b)
+        ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(s, np.uint32)) for i, s, _, _ in parts])
+        keys = np.concatenate([np.frombuffer(k, np.uint32) for _, _, k, _ in parts])
+        places = np.concatenate([np.frombuffer(p, np.uint32) for _, _, _, p in parts])
+        order = np.argsort(keys, kind="stable")
+        sorted_keys, sorted_ids = keys[order], ids[order]
+        heads = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
+        several = np.minimum.reduceat(sorted_ids, heads) < np.maximum.reduceat(sorted_ids, heads)
+        good = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
+        rows = [(key, p.tobytes()) for key, (p,) in _per_document(ids[good], places[good])]
+        for lo in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), _ID_BLOB.types)], schema=_ID_BLOB)
 
 
 # ---------------------------------------------------------------- step 3: runs of shared anchors
@@ -230,40 +231,43 @@ def previous_factors(reach: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 def _factors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, starts, sizes, bodies = [], [], [], []
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
             through = batch.filter(batch.column("id").is_valid())
             if through.num_rows:
                 yield pa.RecordBatch.from_arrays([through.column("id"), through.column("marks")], schema=_MARKS)
-            for i, s, m, b in zip(*(batch.filter(batch.column("id").is_null()).column(c) for c in ("ids", "starts", "sizes", "bytes"))):
-                ids.append(np.frombuffer(i.as_buffer(), np.int64).copy())
-                starts.append(np.frombuffer(s.as_buffer(), np.uint32).astype(np.int64))
-                sizes.append(np.frombuffer(m.as_buffer(), np.uint16).astype(np.int64))
-                bodies.append(np.frombuffer(b.as_buffer(), np.uint8).copy())
-        if not ids:
-            return
-        ids, starts, sizes, data = (np.concatenate(x) for x in (ids, starts, sizes, bodies))
-        begin = np.concatenate([[0], np.cumsum(sizes + length)[:-1]])
-        number = sizes + 1  # suffixes of each segment
-        segment = np.repeat(np.arange(len(ids)), number)
-        step = np.arange(len(segment)) - np.repeat(np.cumsum(number) - number, number)
-        order, reach = suffix_order(data, begin[segment] + step, ids[segment], length)
-        marked = np.zeros(len(segment), bool)
-        marked[order] = previous_factors(reach, ids[segment][order])
-        at = np.flatnonzero(marked)
-        if not len(at):
-            return
-        new = np.append(True, (np.diff(at) != 1) | (np.diff(segment[at]) != 0))
-        first = at[np.flatnonzero(new)]
-        last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-        base = starts[segment[first]]
-        rows = [(r[1], r[2]) for r in _mark_rows(ids[segment[first]], base + step[first], base + step[last], 0)]
-        for lo in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), _MARKS.types)], schema=_MARKS)
+            own = batch.filter(batch.column("id").is_null())
+            for b, *blobs in zip(own.column("bucket").to_pylist(), *(own.column(c) for c in ("ids", "starts", "sizes", "bytes"))):
+                held.setdefault(b, []).append(tuple(x.as_py() for x in blobs))
+        for b in list(held):
+            parts = held.pop(b)
+            ids, starts, sizes, data = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in enumerate((np.int64, np.uint32, np.uint16, np.uint8)))
+            rows = _marked(ids, starts.astype(np.int64), sizes.astype(np.int64), data, length)
+            for lo in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), _MARKS.types)], schema=_MARKS)
 
     return run
 
 
+def _marked(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int) -> list[tuple]:
+    """Marked suffix ranges of one bucket's segments, by document."""
+    begin = np.concatenate([[0], np.cumsum(sizes + length)[:-1]])
+    number = sizes + 1  # suffixes of each segment
+    segment = np.repeat(np.arange(len(ids)), number)
+    step = np.arange(len(segment)) - np.repeat(np.cumsum(number) - number, number)
+    order, reach = suffix_order(data, begin[segment] + step, ids[segment], length)
+    marked = np.zeros(len(segment), bool)
+    marked[order] = previous_factors(reach, ids[segment][order])
+    at = np.flatnonzero(marked)
+    if not len(at):
+        return []
+    new = np.append(True, (np.diff(at) != 1) | (np.diff(segment[at]) != 0))
+    first = at[np.flatnonzero(new)]
+    last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+    base = starts[segment[first]]
+    return [(r[1], r[2]) for r in _mark_rows(ids[segment[first]], base + step[first], base + step[last], 0)]
+
+
 _MARKS = pa.schema([("id", pa.int64()), ("marks", pa.binary())])
 
 
@@ -292,11 +296,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = origin.where("origin is not null").select(F.col("origin").alias("id")).distinct().withColumn("first", F.lit(True))
     dealt = base.repartition(buckets, "id")
     unique = dealt.join(first, "id", "left_semi")
-    spread = unique.mapInArrow(_anchors(buckets, length, anchor), "bucket int, ids binary, sizes binary, keys binary, places binary")
+    spread = unique.mapInArrow(_anchors(buckets * FINE, length, anchor), "bucket int, ids binary, sizes binary, keys binary, places binary")
     shared = spread.repartition(buckets, "bucket").mapInArrow(_shared_anchors, "id long, places binary")
     shared = shared.groupBy("id").agg(F.collect_list("places").alias("places"))
     segments = unique.join(shared, "id").select("id", "text", "places").mapInArrow(
-        _segments(buckets, length, anchor), "bucket int, id long, marks binary, ids binary, starts binary, sizes binary, bytes binary"
+        _segments(buckets * FINE, length, anchor), "bucket int, id long, marks binary, ids binary, starts binary, sizes binary, bytes binary"
     )
     marks = segments.repartition(buckets, "bucket").mapInArrow(_factors(length), "id long, marks binary")
     marks = marks.groupBy("id").agg(F.collect_list("marks").alias("blobs"))
