@@ -33,6 +33,11 @@ def search_tokens(text: Column) -> Column:
     return tokens(text, 3, STOPWORDS)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 # ---------------------------------------------------------------- stemmers
 # Fixed values of the stemmer's steps: suffix and replacement, tried in this order.
 _STEP2 = "ational ate,tional tion,enci ence,anci ance,izer ize,abli able,alli al,entli ent,eli e,ousli ous,ization ize,ation ate,ator ate,alism al,iveness ive,fulness ful,ousness ous,aliti al,iviti ive,biliti ble"
@@ -151,7 +156,7 @@ def analyze(text: Column, min_length: int = 1, stopwords: list[str] | None = Non
 
 
 def keyword(text: Column) -> Column:
-    return F.array(F.lower(F.trim(text)))
+    return F.array(F.lower(strip(text)))
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 3) -> Column:
@@ -183,13 +188,13 @@ def highlights(text: Column, terms: list[str], max_length: int = 150, most: int
     """Up to `most` sentences that hold a term, cut at max_length."""
     wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     hit = F.filter(F.split(text, r"[.!?]+"), lambda s: F.arrays_overlap(search_tokens(s), wanted))
-    return F.slice(F.transform(hit, lambda s: F.when(F.length(s) > max_length, F.concat(F.substring(F.trim(s), 1, max_length), F.lit("..."))).otherwise(F.trim(s))), 1, most)
+    return F.slice(F.transform(hit, lambda s: F.when(F.length(s) > max_length, F.concat(F.substring(strip(s), 1, max_length), F.lit("..."))).otherwise(strip(s))), 1, most)
 
 
 def summary(text: Column, max_length: int = 200) -> Column:
     """The first sentence if it fits, else the text cut at max_length."""
-    first = F.regexp_extract(F.trim(text), r"(?s)^(.*?[.!?])(?:\s|$)", 1)
-    return F.when((first != "") & (F.length(first) <= max_length), first).when(F.length(F.trim(text)) <= max_length, F.trim(text)).otherwise(F.concat(F.substring(F.trim(text), 1, max_length), F.lit("...")))
+    first = F.regexp_extract(strip(text), r"(?s)^(.*?[.!?])(?:\s|$)", 1)
+    return F.when((first != "") & (F.length(first) <= max_length), first).when(F.length(strip(text)) <= max_length, strip(text)).otherwise(F.concat(F.substring(strip(text), 1, max_length), F.lit("...")))
 
 
 # ---------------------------------------------------------------- chunkers

@@ -15,7 +15,7 @@ MAX_LEVELS = 12
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, position, text, summary): blocks between blank lines; blank ones keep their number but give no node."""
     parts = docs.select(id_col, F.posexplode(F.split(text_col, r"\n\s*\n")).alias("position", "text"))
-    kept = parts.select(id_col, "position", F.trim("text").alias("text")).where("text <> ''")
+    kept = parts.select(id_col, "position", X.strip(F.col("text")).alias("text")).where("text <> ''")
     return kept.withColumn("summary", X.summary(F.col("text")))
 
 
@@ -24,7 +24,7 @@ def pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     marked = F.split(F.concat(F.lit("--- Page 1 ---\n"), F.regexp_replace(text_col, r"^\s*--- Page 1 ---\n?", "")), r"(?m)(?=^--- Page \d+ ---)")
     parts = docs.select(id_col, F.explode(marked).alias("p"))
     number = F.regexp_extract("p", r"^--- Page (\d+) ---", 1)
-    return parts.where(number != "").select(id_col, number.cast("int").alias("page"), F.trim(F.regexp_replace("p", r"^--- Page \d+ ---", "")).alias("text"))
+    return parts.where(number != "").select(id_col, number.cast("int").alias("page"), X.strip(F.regexp_replace("p", r"^--- Page \d+ ---", "")).alias("text"))
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,8 +33,8 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = docs.select(id_col, F.posexplode(F.split(F.concat(F.lit("\n"), text_col), r"\n(?=#{1,6}[ \t])")).alias("position", "p"))
     head = F.regexp_extract("p", r"^(#{1,6})[ \t]+([^\n]*)", 1)
     nodes = parts.where(head != "").select(
-        id_col, "position", F.length(head).alias("level"), F.trim(F.regexp_extract("p", r"^#{1,6}[ \t]+([^\n]*)", 1)).alias("title"),
-        F.trim(F.regexp_replace("p", r"^#{1,6}[ \t]+[^\n]*\n?", "")).alias("text"),
+        id_col, "position", F.length(head).alias("level"), X.strip(F.regexp_extract("p", r"^#{1,6}[ \t]+([^\n]*)", 1)).alias("title"),
+        X.strip(F.regexp_replace("p", r"^#{1,6}[ \t]+[^\n]*\n?", "")).alias("text"),
     )
     # the last earlier position of every smaller level; the latest of those is the parent
     before = Window.partitionBy(id_col).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +55,7 @@ def section_paths(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def node_chunks(nodes: DataFrame, id_col: str = "doc_id", size: int = 1000, overlap: int = 200) -> DataFrame:
     """(doc, number, position, chunk): chunks of all nodes with text, numbered within the document."""
-    filled = nodes.where(F.trim("text") != "")
+    filled = nodes.where(X.strip(F.col("text")) != "")
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

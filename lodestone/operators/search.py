@@ -162,7 +162,8 @@ def greedy_dedup(points: DataFrame, threshold: float = 0.95, block: str | None =
                 kept.append(i)
         return pdf.iloc[kept]
 
-    return points.groupBy(block or F.lit(0)).applyInPandas(run, schema)
+    blocked = points.withColumn("__b", F.col(block) if block else F.lit(0))
+    return blocked.groupBy("__b").applyInPandas(lambda pdf: run(pdf.drop(columns="__b")), schema)
 
 
 # ---------------------------------------------------------------- late interaction

@@ -746,7 +746,7 @@ def document_paths(spark, d):
     return p.select("doc_id", (F.col("position") - 1).cast("long").alias("position"), F.array_join("path", " > ").alias("path"))
 
 
-@register("document_paragraphs", r"SELECT doc_id, i - 1 AS position, length(trim(p[i], ' ')) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS p FROM documents)) WHERE trim(p[i], ' ') <> ''")
+@register("document_paragraphs", r"SELECT doc_id, i - 1 AS position, length(regexp_replace(p[i], '^\s+|\s+$', '', 'g')) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS p FROM documents)) WHERE regexp_replace(p[i], '^\s+|\s+$', '', 'g') <> ''")
 def document_paragraphs(spark, d):
     docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
     return D.paragraphs(docs).select("doc_id", F.col("position").cast("long").alias("position"), F.length("text").cast("long").alias("n"))

@@ -65,7 +65,7 @@ def test_acl(spark):
     assert 5 in [r.id for r in df.where(acl_predicate(F.col("acl"), ["al"], True)).collect()]
 
 
-@pytest.mark.parametrize("word, stem", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agree"), ("running", "run"), ("relational", "relat"), ("happy", "happi"), ("is", "is"), ("adoption", "adopt")])
+@pytest.mark.parametrize("word, stem", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("running", "run"), ("relational", "relat"), ("happy", "happi"), ("is", "is"), ("adoption", "adopt")])
 def test_porter(word, stem):
     assert X.porter(word) == stem
 
