@@ -6,6 +6,7 @@ Every top-k has a total order: score rounded to six digits, highest first, then
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -213,48 +214,61 @@ IDF: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Callable[[Column], Column] = X.search_tokens, stem: bool = False) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Tokens:
+    """Which tokens count: their least length and the words left out."""
+
+    least: int = 3
+    stopwords: tuple[str, ...] = tuple(X.STOPWORDS)
+
+    def rows(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, term): a row for each token, or one without a term for a text that has none. Splitting makes rows at
+        once, so that all conditions are compiled instead of run over arrays."""
+        parts = docs.select(F.col(id_col), F.explode_outer(F.split(F.lower(text_col), r"[^\p{L}\p{N}_]+")).alias("t"))
+        good = (F.length("t") >= self.least) & F.col("t").rlike("^[a-z0-9]+$")
+        if self.stopwords:
+            good &= ~F.col("t").isin(*self.stopwords)
+        return parts.select(id_col, F.when(good, F.col("t")).alias("term"))
+
+
+def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens: Tokens = Tokens(), stem: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, term, tf) and (id, len). Stems are made per distinct term and joined back."""
-    # a plain array first: the token expression is evaluated once per text
-    each = docs.select(id_col, tokens(F.col(text_col)).alias("t"))
-    lengths = each.select(id_col, F.size("t").alias("len"))
-    tf = each.select(id_col, F.explode("t").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    each = tokens.rows(docs, id_col, text_col)
+    lengths = each.groupBy(id_col).agg(F.count("term").alias("len"))
+    tf = each.where("term is not null").groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     if stem:
         stems = X.stem_terms(tf)
         tf = tf.join(stems, "term").groupBy(id_col, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
     return tf, lengths
 
 
-def bm25(docs: DataFrame, query: list[str], k: int | None = 10, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, idf: str = "plus", delta: float = 0.0, repeats: bool = False, tokens: Callable[[Column], Column] = X.search_tokens, stem: bool = False, within: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+def bm25(docs: DataFrame, query: list[str], k: int | None = 10, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, idf: str = "plus", delta: float = 0.0, repeats: bool = False, tokens: Tokens = Tokens(), stem: bool = False, within: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """BM25 scores of documents that hold a query term: id, score, matched.
 
-    Only postings of the query's terms are aggregated; the number of documents, their mean length and document
-    frequencies are those of all docs, whatever within restricts. delta above 0 is BM25+; with repeats a term
-    counts as often as the query has it.
+    One pass over the texts counts each document's tokens and its occurrences of the query's terms. The number of
+    documents, their mean length and document frequencies are those of all docs, whatever within restricts. delta
+    above 0 is BM25+; with repeats a term counts as often as the query has it.
     """
-    spark = docs.sparkSession
     words = [t.lower() for t in query]
     if stem:
         words = [*words, *(X.porter(w) for w in words)]
     times = {w: words.count(w) if repeats else 1 for w in words}
-    q = spark.createDataFrame(list(times.items()), "term string, times int")
-    each = docs.select(id_col, tokens(F.col(text_col)).alias("t")).withColumn("len", F.size("t"))
-    stats = each.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    names = {w: f"tf{i}" for i, w in enumerate(times)}
+    rows = tokens.rows(docs, id_col, text_col)
     if stem:
-        tf, lengths = term_counts(docs, id_col, text_col, tokens, True)
-        tf = tf.join(F.broadcast(q), "term").join(lengths, id_col)
-    else:
-        # only the query's terms leave the text
-        wanted = F.array(*[F.lit(w) for w in times]).cast("array<string>")
-        hits = each.select(id_col, "len", F.explode(F.filter("t", lambda x: F.array_contains(wanted, x))).alias("term"))
-        tf = hits.groupBy(id_col, "len", "term").agg(F.count("*").alias("tf")).join(F.broadcast(q), "term")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(stats)).withColumn("idf", IDF[idf](F.col("n"), F.col("df")))
-    scored = tf.join(F.broadcast(weights), "term")
+        rows = rows.join(X.stem_terms(rows.where("term is not null")), "term", "left").select(id_col, F.coalesce("stem", "term").alias("term"))
+    counted = rows.groupBy(id_col).agg(F.count("term").alias("len"), *[F.count_if(F.col("term") == w).alias(c) for w, c in names.items()])
+    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in names.values()])
     if within is not None:
-        scored = scored.join(within.select(id_col), id_col, "left_semi")
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    out = scored.groupBy(id_col).agg(F.sum(F.col("times") * F.col("idf") * (part + delta)).alias("score"), F.count("*").alias("matched"))
+        counted = counted.join(within.select(id_col), id_col, "left_semi")
+    any_hit, score, matched = F.lit(False), F.lit(0.0), F.lit(0)
+    for w, c in names.items():
+        tf, hit = F.col(c), F.col(c) > 0
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean"))) + delta
+        score = score + F.when(hit, times[w] * IDF[idf](F.col("n"), F.col(f"d{c}")) * part).otherwise(0.0)
+        matched = matched + hit.cast("int")
+        any_hit |= hit
+    out = counted.where(any_hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"), matched.cast("long").alias("matched"))
     if k is None:
         return out.withColumn("score", rounded(F.col("score")))
     return top(out, k, id_col, threshold=threshold)
@@ -262,7 +276,7 @@ def bm25(docs: DataFrame, query: list[str], k: int | None = 10, id_col: str = "i
 
 def bm25_weights(docs: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, sparse): BM25 weights of each document as a map by term."""
-    tf, lengths = term_counts(docs, id_col, text_col, lambda t: X.tokens(t, 2))
+    tf, lengths = term_counts(docs, id_col, text_col, Tokens(2, ()))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(df, "term").join(lengths, id_col).crossJoin(F.broadcast(stats))

@@ -308,7 +308,7 @@ def bm25_filtered_global_stats(spark, d):
 
 @register("bm25_classic", "WITH " + bm25_sql(TERMS, CLASSIC, 1.5, 0.75, tokens=tokens_sql("text")) + _TOPK)
 def bm25_classic(spark, d):
-    return S.bm25(texts(spark, d), TERMS, 20, k1=1.5, idf="classic", tokens=lambda t: X.tokens(t))
+    return S.bm25(texts(spark, d), TERMS, 20, k1=1.5, idf="classic", tokens=S.Tokens(1, ()))
 
 
 @register("bm25_plus", "WITH " + bm25_sql(TERMS, PLUS, 1.2, 0.75, 1.0) + _TOPK)
