@@ -5,8 +5,10 @@
 2. Bands of minima give buckets. Every member of a bucket is compared with the bucket's pivot, never with all
    others; signatures that are too far apart are dropped first, and full shingle sets confirm what is left.
 3. Connected components by alternating large-star and small-star. In buckets that still hold several
-   components, members outside the pivot's component meet more pivots, and what then is still apart is compared
-   with every member of the other components, so that no link between candidates is lost.
+   components, members outside the pivot's component meet the bucket's most central members, and what then is
+   still apart is joined exactly: in one order of all shingles, rarest first, two linked sets share one among
+   their first (1 - threshold) of shingles, at places that leave enough behind them for the overlap. No link
+   between candidates is lost, and common shingles of a large group make no pairs.
 4. Components go back to all documents through the digest.
 
 The chance that a pair at the threshold shares no band is at most MISS.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import chunks, cut, drop, mix, utf8, words
@@ -37,7 +39,7 @@ HASHES = 200
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6
 #: Pivots of the second round.
-PIVOTS = 8
+PIVOTS = 3
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -145,21 +147,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     left = strays(comps)
     if not left.isEmpty():
-        # large buckets: outsiders meet more pivots, so that few are left for the exact comparison
-        large = left.where(F.col("members") > 4 * PIVOTS)
-        more = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node", "n", "comp")).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = large.groupBy("k").agg(*more).select("k", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).distinct()
+        # outsiders meet the most central members of their buckets first, so that few are left after that
+        ranked = cut(_ranked(sets.join(left.select("node").distinct(), "node", "left_semi")), kept_files)
+        central = ranked.groupBy("node").agg(F.round(F.log(F.avg("f")), 1).alias("c"))
+        tops = [F.max(F.struct("c", F.xxhash64("node", F.lit(i)).alias("o"), "node", "n", "comp")).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = left.join(central, "node").groupBy("k").agg(*tops).select("k", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).distinct()
         pivots = pivots.select("k", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.comp").alias("ac"))
-        again = large.where("stray").join(pivots, "k").where("ac <> comp and a <> node").where(near("n", "an"))
-        again = cut(again.select("a", F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), kept_files)
+        outside = left.where("stray").select("k", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
+        again = outside.join(pivots, "k").where("ac <> bc").where(near("an", "bn"))
+        again = cut(again.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), kept_files)
         edges2 = cut(confirm(again), kept_files)
         if not edges2.isEmpty():
             comps = cut(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges2)), kept_files)
             left = strays(comps)
-        # the rest exactly: each outsider against every member of the other components of its bucket
-        outside = left.where("stray").select("k", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-        others = left.where("node <> pivot").select("k", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-        rest = outside.join(others, "k").where("ac <> bc").where(near("an", "bn"))
+        # the rest exactly: linked sets share one of their rarest shingles, early enough to reach the overlap
+        heads = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(left.select("node", "comp", "stray").distinct(), "node")
+        outside = heads.where("stray").select("h", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"))
+        others = heads.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac")).distinct()
+        reach = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
+        rest = outside.join(others, "h").where("ac <> bc").where(near("an", "bn")).where(reach)
         rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = tried.union(again)
         both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -174,6 +180,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out
 
 
+def _ranked(sets: DataFrame) -> DataFrame:
+    """(node, h, f, pos, n): the shingles of every set, from those that the fewest sets hold to the commonest."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, blob in zip(batch.column("node").to_pylist(), batch.column("members")):
+                hashes = np.frombuffer(blob.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), key)), pa.array(hashes), pa.array(np.full(len(hashes), len(hashes)))], names=["node", "h", "n"])
+
+    flat = sets.mapInArrow(spread, "node long, h long, n long").distinct()
+    often = flat.groupBy("h").agg(F.count("*").alias("f"))
+    order = F.row_number().over(Window.partitionBy("node").orderBy("f", "h"))
+    return flat.join(often, "h").select("node", "h", "f", (order - 1).alias("pos"), "n")
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
