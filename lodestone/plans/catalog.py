@@ -778,3 +778,144 @@ def asof_join(spark, d):
     before = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
     last = F.max(bought).over(before)
     return events.withColumn("p", last).where("event_type <> 'purchase'").select("event_id", F.col("p.event_id").alias("last_purchase"))
+
+
+@register("top_terms", f"SELECT item_id, term, n FROM (SELECT item_id, term, n, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, term) AS r FROM (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({tokens_sql('text', 3, True)}) AS term FROM benchmark) GROUP BY ALL)) WHERE r <= 5")
+def top_terms(spark, d):
+    tf, _ = S.term_counts(table(spark, d, "benchmark"), "item_id")
+    by = Window.partitionBy("item_id").orderBy(F.desc("tf"), "term")
+    return tf.withColumn("r", F.row_number().over(by)).where("r <= 5").select("item_id", "term", F.col("tf").alias("n"))
+
+
+@register("tag_counts", "SELECT tag, count(*) AS n FROM (SELECT unnest([lang, source]) AS tag FROM documents) GROUP BY tag")
+def tag_counts(spark, d):
+    return table(spark, d, "documents").select(F.explode(F.array("lang", "source")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@register("compare_runs", "SELECT p_brand AS name, round((max(p_retailprice) - min(p_retailprice)) / min(p_retailprice) * 100, 6) AS change, CASE WHEN round((max(p_retailprice) - min(p_retailprice)) / min(p_retailprice) * 100, 6) > 5 THEN 'improved' ELSE 'unchanged' END AS verdict FROM part GROUP BY p_brand")
+def compare_runs(spark, d):
+    g = table(spark, d, "part").groupBy(F.col("p_brand").alias("name"))
+    return A.compare_runs(g.agg(F.min("p_retailprice").alias("value")), g.agg(F.max("p_retailprice").alias("value")))
+
+
+@register("add_validated", "SELECT CASE WHEN vec_id % 5 = 0 THEN 'expected 64 dimensions, got 8' WHEN vec_id % 7 = 0 THEN 'no vector' END AS error, count(*) AS n FROM embeddings WHERE vec_id % 5 = 0 OR vec_id % 7 = 0 GROUP BY 1")
+def add_validated(spark, d):
+    k = F.col("id")
+    p = vectors(spark, d).withColumn("vector", F.when(k % 5 == 0, F.slice("vector", 1, 8)).when(k % 7 != 0, F.col("vector")))
+    return C.validate(p, 64)[1].groupBy("error").agg(F.count("*").alias("n"))
+
+
+@register("section_lookup", "SELECT doc_id, i AS position FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE i = 1")
+def section_lookup(spark, d):
+    return D.find_section(D.sections(headed(spark, d)), "s1").select("doc_id", (F.col("position") - 1).cast("long").alias("position"))
+
+
+@register("maxsim_prefetch")
+def maxsim_prefetch(spark, d):
+    t = token_vectors(spark, d)
+    q = t.where("id = 0").select(F.col("pos").alias("qpos"), F.col("vec").alias("qvec"))
+    cents = S.centroids(t)
+    mine = list(cents.where("id = 0").head()["centroid"])
+    near = S.top(cents.withColumn("score", V.dot("centroid", mine)), 100).select("id")
+    return S.maxsim(t.join(near, "id", "left_semi"), q, 10)
+
+
+@register("fusion_dense_sparse_late")
+def fusion_dense_sparse_late(spark, d):
+    t = token_vectors(spark, d)
+    late = S.maxsim(t, t.where("id = 0").select(F.col("pos").alias("qpos"), F.col("vec").alias("qvec")), 30)
+    dense = S.vector_search(vectors(spark, d), vector_of(spark, d, 0), 50).select("id", "score")
+    return U.dense_sparse_late(dense, S.sparse_search(term_postings(spark, d), SPARSE_QUERY, 50), late, 10)
+
+
+@register("query_expansion", "SELECT * FROM (VALUES ('erre', 1.0::DOUBLE), ('haea', 0.4::DOUBLE), ('inth', 0.7::DOUBLE), ('tion', 1.0::DOUBLE)) t(term, weight)")
+def query_expansion(spark, d):
+    found = S.expand_query(["tion", "erre"], {"tion": ["inth"]}, {"erre": {"haea": 0.4}})
+    return spark.createDataFrame(sorted(found.items()), "term string, weight double")
+
+
+@register("graph_seeds", f"WITH {_NAMES}, e AS (SELECT DISTINCT lower(name) AS id FROM m WHERE {_NOT}) SELECT id, CASE WHEN contains('the erth and', id) OR contains(id, 'the erth and') THEN 1.0::DOUBLE ELSE round(0.8 * len(list_intersect(list_distinct(string_split(id, ' ')), ['the', 'erth', 'and'])) / greatest(3, len(list_distinct(string_split(id, ' ')))), 6) END AS score FROM e WHERE contains('the erth and', id) OR contains(id, 'the erth and') OR list_has_any(string_split(id, ' '), ['the', 'erth', 'and']) ORDER BY score DESC, id LIMIT 10")
+def graph_seeds(spark, d):
+    return G.seeds(G.merge_entities(G.extract_entities(units(spark, d))).drop("aliases"), "the erth and", 10)
+
+
+@register("graph_community_search")
+def graph_community_search(spark, d):
+    entities, edges = G.build(units(spark, d), window=10)
+    members = G.components(edges).withColumnRenamed("component", "community")
+    found = G.community_summaries(members, entities).select(F.col("community").alias("id"), "size", "summary", F.lit(0.5).alias("importance"))
+    return G.global_search(found, "which entities erth", 5).select("id", "size", "score")
+
+
+@register("graph_resolution")
+def graph_resolution(spark, d):
+    return G.resolve_names(G.merge_entities(G.extract_entities(units(spark, d))))
+
+
+@register("graph_edges_of_hits", f"WITH {_EDGES} SELECT src, dst FROM e WHERE src % 3 = 1 AND dst % 2 = 0")
+def graph_edges_of_hits(spark, d):
+    edges = order_edges(spark, d).withColumn("strength", F.lit(1.0))
+    ends = edges.select(F.col("src").alias("id")).where("id % 3 = 1").union(edges.select(F.col("dst").alias("id")).where("id % 2 = 0 AND id >= 1000000")).distinct()
+    return G.local_edges(edges.where("dst % 2 = 0"), ends).select("src", "dst")
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder where other executors see it."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+@register("source_jsonl", _NATION)
+def source_jsonl(spark, d):
+    from lodestone.sources import readers as R
+
+    nation, path = table(spark, d, "nation"), scratch(spark, "jsonl")
+    nation.write.json(path)
+    return R.read_jsonl(spark, path, nation.schema)
+
+
+@register("source_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS col_0, n_name AS col_1, CAST(n_regionkey AS VARCHAR) AS col_2 FROM nation")
+def source_csv(spark, d):
+    from lodestone.sources import readers as R
+
+    path = scratch(spark, "csv")
+    table(spark, d, "nation").write.csv(path, sep="|")
+    return R.read_csv(spark, path, "|", False)
+
+
+@register("source_parquet_columns", "SELECT o_orderkey, o_totalprice FROM orders")
+def source_parquet_columns(spark, d):
+    from lodestone.sources import readers as R
+
+    return R.read_parquet(spark, f"{d}/orders.parquet", ["o_orderkey", "o_totalprice"])
+
+
+@register("source_points", "SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS n, label FROM embeddings")
+def source_points(spark, d):
+    from lodestone.sources import readers as R
+
+    p = R.read_vectors(spark, f"{d}/embeddings.parquet", "parquet", "vec_id", "embedding")
+    return p.select("id", F.size("vector").cast("long").alias("n"), F.get_json_object("metadata", "$.label").cast("int").alias("label"))
+
+
+@register("stream_upsert", "SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus AS status FROM orders")
+def stream_upsert(spark, d):
+    source, target = scratch(spark, "stream"), scratch(spark, "target")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(2).alias("updated_at"))
+    orders.where("id % 2 = 0").withColumn("status", F.lit("old")).withColumn("updated_at", F.lit(1)).write.parquet(source)
+    orders.write.mode("append").parquet(source)
+    M.upsert_stream(M.file_stream(spark, source, orders.schema, 1000), target, scratch(spark, "offsets")).awaitTermination()
+    return M.read_versions(spark, target).select("id", "status")
+
+
+@register("sync_incremental", "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'old' END AS status FROM orders")
+def sync_incremental(spark, d):
+    target = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.lit("old").alias("status"), F.lit(1).alias("updated_at"))
+    source = target.select("id", F.lit("new").alias("status"), F.when(F.col("id") % 4 == 0, 2).otherwise(1).alias("updated_at"))
+    return M.sync_changes(source, target).select("id", "status")
