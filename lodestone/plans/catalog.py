@@ -564,7 +564,7 @@ def delete_ids(spark, d):
     return C.delete(vectors(spark, d), table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))).select("id")
 
 
-@register("get_batch", "SELECT p.position, p.id, e.label FROM (VALUES (0, 5), (1, 3), (2, 999999999), (3, 8)) p(position, id) LEFT JOIN embeddings e ON e.vec_id = p.id")
+@register("get_batch", "SELECT p.position, CAST(p.id AS BIGINT) AS id, e.label FROM (VALUES (0, 5), (1, 3), (2, 999999999), (3, 8)) p(position, id) LEFT JOIN embeddings e ON e.vec_id = p.id")
 def get_batch(spark, d):
     return C.get(vectors(spark, d), [5, 3, 999_999_999, 8]).select("position", "id", "label")
 
@@ -684,7 +684,7 @@ def graph_importance(spark, d):
     return G.importance(order_edges(spark, d))
 
 
-@register("graph_components", "SELECT r_regionkey * 1000 AS component, count(*) + 1 AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey")
+@register("graph_components", "SELECT CAST(r_regionkey * 1000 AS BIGINT) AS component, count(*) + 1 AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey")
 def graph_components(spark, d):
     edges = table(spark, d, "nation").select((F.col("n_regionkey") * 1000).cast("long").alias("src"), (F.col("n_nationkey") + 100_000).cast("long").alias("dst"))
     return G.components(edges).groupBy("component").agg(F.count("*").alias("n"))
