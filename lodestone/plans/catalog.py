@@ -441,8 +441,8 @@ _NORMS = {
     "rank": "1 - (rank - 1) / count(*) OVER w",
 }
 for _method, _norm in _NORMS.items():
-    register(f"fusion_linear_{_method}", f"WITH {_LISTS}, x AS (SELECT id, {_norm} AS norm, CASE source WHEN 'dense' THEN 0.7 ELSE 0.3 END AS wt FROM r WINDOW w AS (PARTITION BY source)) SELECT id, round(sum(norm * wt), 5) AS score FROM x GROUP BY id ORDER BY round(sum(norm * wt), 6) DESC, id LIMIT 10")(
-        lambda spark, d, m=_method: U.linear(two_lists(spark, d), 10, m, {"dense": 0.7, "text": 0.3}).select("id", F.round("score", 5).alias("score"))
+    register(f"fusion_linear_{_method}", f"WITH {_LISTS}, x AS (SELECT id, {_norm} AS norm, CASE source WHEN 'dense' THEN 0.7 ELSE 0.3 END AS wt FROM r WINDOW w AS (PARTITION BY source)) SELECT id, round(sum(norm * wt), 6) AS score FROM x GROUP BY id ORDER BY score DESC, id LIMIT 10")(
+        lambda spark, d, m=_method: U.linear(two_lists(spark, d), 10, m, {"dense": 0.7, "text": 0.3}).select("id", "score")
     )
 
 
@@ -477,11 +477,11 @@ def rerank_mmr(spark, d):
     return U.mmr(hits, vectors(spark, d), 10).select("id", "score", "mmr_rank")
 
 
-@register("hybrid_late", f"WITH {_LISTS}, {_TOK}, h AS (SELECT id, round(sum(1 / (60 + rank)), 6) AS a FROM r GROUP BY id ORDER BY a DESC, id LIMIT 30), m AS (SELECT b.id, a.pos, max(list_cosine_similarity(a.vec, b.vec)) AS s FROM tok a, tok b WHERE a.id = 0 GROUP BY ALL), c AS (SELECT id, round(sum(s), 6) AS b FROM m GROUP BY id), j AS (SELECT h.id, a, b FROM h LEFT JOIN c USING (id)) SELECT id, round(0.6 * a + 0.4 * coalesce(b, 0) / (SELECT greatest(max(b), 1e-6) FROM j), 5) AS score FROM j ORDER BY round(0.6 * a + 0.4 * coalesce(b, 0) / (SELECT greatest(max(b), 1e-6) FROM j), 6) DESC, id LIMIT 10")
+@register("hybrid_late", f"WITH {_LISTS}, {_TOK}, h AS (SELECT id, round(sum(1 / (60 + rank)), 6) AS a FROM r GROUP BY id ORDER BY a DESC, id LIMIT 30), m AS (SELECT b.id, a.pos, max(list_cosine_similarity(a.vec, b.vec)) AS s FROM tok a, tok b WHERE a.id = 0 GROUP BY ALL), c AS (SELECT id, round(sum(s), 6) AS b FROM m GROUP BY id), j AS (SELECT h.id, a, b FROM h LEFT JOIN c USING (id)) SELECT id, round(0.6 * a + 0.4 * coalesce(b, 0) / (SELECT greatest(max(b), 1e-6) FROM j), 6) AS score FROM j ORDER BY score DESC, id LIMIT 10")
 def hybrid_late(spark, d):
     t = token_vectors(spark, d)
     late = S.maxsim(t, t.where("id = 0").select(F.col("pos").alias("qpos"), F.col("vec").alias("qvec")), 1_000_000)
-    return U.blend_max(U.rrf(two_lists(spark, d), 30), late, 10).select("id", F.round("score", 5).alias("score"))
+    return U.blend_max(U.rrf(two_lists(spark, d), 30), late, 10).select("id", "score")
 
 
 # ---------------------------------------------------------------- aggregates
