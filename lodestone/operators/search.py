@@ -20,6 +20,8 @@ from lodestone.functions.filters import compile_filter
 DIGITS = 6
 #: Largest side of a kNN join that is broadcast, in rows.
 BROADCAST_ROWS = 20_000
+#: Scores that a kNN join holds at once in a task.
+SCORES = 4_000_000
 
 
 def rounded(score: Column) -> Column:
@@ -77,10 +79,11 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "
             for pdf in batches:
                 if not len(pdf) or not len(keys):
                     continue
-                x = np.stack(pdf["v"].to_numpy()).astype(float)
-                scores = np.round(_scores(metric, queries_, x), DIGITS)
-                held.append((scores, pdf["i"].to_numpy()))
-                held = [_keep(held, k)]
+                step = max(1, SCORES // len(keys))
+                for lo in range(0, len(pdf), step):
+                    part = pdf.iloc[lo : lo + step]
+                    scores = np.round(_scores(metric, queries_, np.stack(part["v"].to_numpy()).astype(float)), DIGITS)
+                    held = [_keep([*held, (scores, part["i"].to_numpy())], k)]
             for scores, ids_ in held:
                 for row, i, name in zip(scores, ids_, keys):
                     good = np.isfinite(row)

@@ -210,27 +210,27 @@ def knn_offset(spark, d):
     return S.vector_search(vectors(spark, d), vector_of(spark, d, 0), 10, offset=5).select("id", "score")
 
 
-_JOIN = f"""WITH {V_SQL}, s AS (SELECT a.id AS qid, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b WHERE a.id % 10 = 0),
+_JOIN = f"""WITH {V_SQL}, s AS (SELECT a.id AS qid, b.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM v a, v b),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)"""
 
 
 @register("knn_join", _JOIN + " SELECT qid, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def knn_join(spark, d):
     p = vectors(spark, d)
-    return S.knn_join(p, p.where("id % 10 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 5)
+    return S.knn_join(p, p.select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 5)
 
 
 @register("multi_query_max", _JOIN + " SELECT id, max(score) AS score FROM r WHERE rank <= 20 GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def multi_query_max(spark, d):
     p = vectors(spark, d)
-    hits = S.knn_join(p, p.where("id % 10 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 20)
+    hits = S.knn_join(p, p.select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 20)
     return S.multi_query(hits, 10, "max")
 
 
 @register("multi_query_mean", _JOIN + " SELECT id, round(avg(score), 6) AS score FROM r WHERE rank <= 20 GROUP BY id ORDER BY score DESC, id LIMIT 10")
 def multi_query_mean(spark, d):
     p = vectors(spark, d)
-    hits = S.knn_join(p, p.where("id % 10 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 20)
+    hits = S.knn_join(p, p.select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 20)
     return S.multi_query(hits, 10, "mean")
 
 
@@ -535,14 +535,13 @@ def latency_histogram(spark, d):
     return A.histogram(table(spark, d, "events"), "value", 20)
 
 
-@register("retrieval_metrics", _JOIN + """, k AS (SELECT qid, id, rank FROM r WHERE rank <= 10), t AS (SELECT a.id AS qid, b.id FROM v a JOIN v b USING (label) WHERE a.id % 10 = 0),
+@register("retrieval_metrics", _JOIN + """, k AS (SELECT qid, id, rank FROM r WHERE rank <= 10), t AS (SELECT a.id AS qid, b.id FROM v a JOIN v b USING (label)),
 z AS (SELECT qid, count(DISTINCT id) AS rel FROM t GROUP BY qid), h AS (SELECT k.qid, count(t.id) AS hits, min(CASE WHEN t.id IS NOT NULL THEN rank END) AS first, sum(CASE WHEN t.id IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM k LEFT JOIN t ON t.qid = k.qid AND t.id = k.id GROUP BY k.qid)
 SELECT qid, round(hits / rel, 6) AS recall, round(coalesce(1 / first, 0), 6) AS rr, round(dcg / list_sum(list_transform(range(1, least(rel, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM z JOIN h USING (qid)""")
 def retrieval_metrics(spark, d):
     p = vectors(spark, d)
-    q = p.where("id % 10 = 0")
-    found = S.knn_join(p, q.select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 10)
-    truth = q.select(F.col("id").alias("qid"), "label").join(p.select("id", "label"), "label").select("qid", "id")
+    found = S.knn_join(p, p.select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 10)
+    truth = p.select(F.col("id").alias("qid"), "label").join(p.select("id", "label"), "label").select("qid", "id")
     return A.retrieval_metrics(found, truth, 10)
 
 
