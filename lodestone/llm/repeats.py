@@ -41,7 +41,7 @@ LENGTH = 50
 ANCHOR = 20
 #: Text handled as one batch in bytes.
 BATCH_BYTES = 8_000_000
-#: Buckets of each shuffle partition; a task orders one of its buckets at a time.
+#: Parts of a bucket; a task orders the suffixes of one part at a time.
 FINE = 16
 
 
@@ -108,7 +108,7 @@ def _anchors(buckets: int, length: int, k: int):
                 rows = []
                 for b, group in _by_bucket((h % np.uint64(buckets)).astype(np.int64)):
                     docs, sizes = np.unique(text[group], return_counts=True)
-                    rows.append((b, ids[docs].tobytes(), sizes.astype(np.uint32).tobytes(), (h[group] >> np.uint64(32)).astype(np.uint32).tobytes(), place[group].tobytes()))
+                    rows.append((b, ids[docs].tobytes(), sizes.astype(np.uint32).tobytes(), (h[group] >> np.uint64(32)).astype(np.uint32).tobytes(), _steps(place[group], sizes)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _A.types)], schema=_A)
 
@@ -122,6 +122,24 @@ def _per_document(ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int,
         yield int(ids[group[0]]), [c[group] for c in columns]
 
 
+def _steps(place: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Places as 16-bit steps within each document, or as they are if a step is larger."""
+    first = np.cumsum(sizes) - sizes
+    step = np.diff(place.astype(np.int64), prepend=0)
+    step[first] = place[first]
+    return step.astype(np.uint16).tobytes() if step.max(initial=0) < 1 << 16 else place.tobytes()
+
+
+def _places(blob: bytes, sizes: np.ndarray) -> np.ndarray:
+    n = int(sizes.sum())
+    if len(blob) == 4 * n:
+        return np.frombuffer(blob, np.uint32)
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
+    step = np.frombuffer(blob, np.uint16).astype(np.int64)
+    total = np.cumsum(step)
+    return (total - np.repeat(total[first] - step[first], sizes)).astype(np.uint32)
+
+
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce: the places of anchors whose key stands in several documents, by document."""
     held: dict[int, list[tuple]] = {}
@@ -132,7 +150,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         parts = held.pop(b)
         ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(s, np.uint32)) for i, s, _, _ in parts])
         keys = np.concatenate([np.frombuffer(k, np.uint32) for _, _, k, _ in parts])
-        places = np.concatenate([np.frombuffer(p, np.uint32) for _, _, _, p in parts])
+        places = np.concatenate([_places(p, np.frombuffer(s, np.uint32)) for _, s, _, p in parts])
         order = np.argsort(keys, kind="stable")
         sorted_keys, sorted_ids = keys[order], ids[order]
         heads = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
@@ -188,10 +206,13 @@ def _segments(buckets: int, length: int, k: int):
                 gone = np.flatnonzero(later)
                 rows += _mark_rows(own[gone], start[gone], start[gone] + more[gone], buckets + int(own[0]) % buckets)
                 keep = np.flatnonzero(~later)
-                for b, group in _by_bucket((h[keep] % np.uint64(buckets)).astype(np.int64)):
+                where = (h[keep] % np.uint64(buckets * FINE)).astype(np.int64)
+                for b, group in _by_bucket(where // FINE):
+                    group = group[np.argsort(where[group], kind="stable")]
+                    counts = np.bincount(where[group] % FINE, minlength=FINE).astype(np.uint32)
                     g = keep[group]
                     body = b"".join(data[a : a + n].tobytes() for a, n in zip(at[g].tolist(), (more[g] + length).tolist()))
-                    rows.append((b, None, None, own[g].tobytes(), start[g].astype(np.uint32).tobytes(), more[g].astype(np.uint16).tobytes(), body))
+                    rows.append((b, None, counts.tobytes(), own[g].tobytes(), start[g].astype(np.uint32).tobytes(), more[g].astype(np.uint16).tobytes(), body))
                 for lo in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 1000]), _B.types)], schema=_B)
 
@@ -231,17 +252,22 @@ def previous_factors(reach: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 def _factors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        held: dict[tuple[int, int], list[tuple]] = {}
         for batch in batches:
             through = batch.filter(batch.column("id").is_valid())
             if through.num_rows:
                 yield pa.RecordBatch.from_arrays([through.column("id"), through.column("marks")], schema=_MARKS)
             own = batch.filter(batch.column("id").is_null())
-            for b, *blobs in zip(own.column("bucket").to_pylist(), *(own.column(c) for c in ("ids", "starts", "sizes", "bytes"))):
-                held.setdefault(b, []).append(tuple(x.as_py() for x in blobs))
-        for b in list(held):
-            parts = held.pop(b)
-            ids, starts, sizes, data = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in enumerate((np.int64, np.uint32, np.uint16, np.uint8)))
+            for b, *blobs in zip(own.column("bucket").to_pylist(), *(own.column(c) for c in ("marks", "ids", "starts", "sizes", "bytes"))):
+                counts, ids, starts, sizes, data = (np.frombuffer(x.as_py(), t) for x, t in zip(blobs, (np.uint32, np.int64, np.uint32, np.uint16, np.uint8)))
+                ends = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) + length)])
+                at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).tolist()
+                for part, (lo, hi) in enumerate(zip(at, at[1:])):
+                    if hi > lo:
+                        held.setdefault((b, part), []).append((ids[lo:hi], starts[lo:hi], sizes[lo:hi], data[ends[lo] : ends[hi]]))
+        for key in list(held):
+            parts = held.pop(key)
+            ids, starts, sizes, data = (np.concatenate([p[i] for p in parts]) for i in range(4))
             rows = _marked(ids, starts.astype(np.int64), sizes.astype(np.int64), data, length)
             for lo in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 10_000]), _MARKS.types)], schema=_MARKS)
@@ -289,23 +315,24 @@ def covered(size: int, blobs: list[bytes], whole: bool, length: int) -> list[tup
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """docs' ids and texts with what to remove: id, text, blobs (marked suffix ranges), whole (a later exact copy)."""
     buckets = shuffle_partitions(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = every.where("id is not null")  # joins ask for that; asked here, all uses of the dealt texts are one exchange
     digests = base.select("id", F.sha2("text", 256).alias("digest"))
     origin = digests.groupBy("digest").agg(F.min("id").alias("origin"))
     # a repeated id may come with several texts: it is a first copy if any of its texts is
-    first = origin.where("origin is not null").select(F.col("origin").alias("id")).distinct().withColumn("first", F.lit(True))
+    first = origin.select(F.col("origin").alias("id")).distinct().withColumn("first", F.lit(True))
     dealt = base.repartition(buckets, "id")
-    unique = dealt.join(first, "id", "left_semi")
-    spread = unique.mapInArrow(_anchors(buckets * FINE, length, anchor), "bucket int, ids binary, sizes binary, keys binary, places binary")
+    unique = dealt.join(first.select("id"), "id")  # ids are distinct there; a semi join would go below the exchange
+    spread = unique.mapInArrow(_anchors(buckets, length, anchor), "bucket int, ids binary, sizes binary, keys binary, places binary")
     shared = spread.repartition(buckets, "bucket").mapInArrow(_shared_anchors, "id long, places binary")
     shared = shared.groupBy("id").agg(F.collect_list("places").alias("places"))
     segments = unique.join(shared, "id").select("id", "text", "places").mapInArrow(
-        _segments(buckets * FINE, length, anchor), "bucket int, id long, marks binary, ids binary, starts binary, sizes binary, bytes binary"
+        _segments(buckets, length, anchor), "bucket int, id long, marks binary, ids binary, starts binary, sizes binary, bytes binary"
     )
     marks = segments.repartition(buckets, "bucket").mapInArrow(_factors(length), "id long, marks binary")
     marks = marks.groupBy("id").agg(F.collect_list("marks").alias("blobs"))
-    later = F.col("first").isNull() & F.col("id").isNotNull()
-    return dealt.join(first, "id", "left").join(marks, "id", "left").select("id", "text", "blobs", later.alias("whole"))
+    found = dealt.join(first, "id", "left").join(marks, "id", "left").select("id", "text", "blobs", F.col("first").isNull().alias("whole"))
+    return found.unionByName(every.where("id is null").select("id", "text", F.lit(None).cast("array<binary>").alias("blobs"), F.lit(False).alias("whole")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, contents: bool = True) -> DataFrame:
