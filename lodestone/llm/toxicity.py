@@ -38,11 +38,13 @@ EXAMPLES = 3000
 TERMS = 4000
 #: Least ratio of a term's rates in toxic and other examples.
 RATIO = 4
-#: Least G statistic of a term, neighbours that vote, examples of a block, weight of the prior.
-GAIN = 15.0
+#: Least G statistic of a term: GAIN, and GAIN_SHARE of the greatest one (more examples bring more chance terms).
+GAIN = 10.0
+GAIN_SHARE = 0.005
+#: Neighbours that vote, examples of a block, weight of the prior.
 K = 15
 BLOCK = 64
-PRIOR = 0.1
+PRIOR = 0.5
 #: Lengths of word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
 #: Occurrences in one text up to which each makes a further term.
@@ -205,9 +207,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gain = 2 * (part(F.col("n0"), whole * (a / (a + b))) + part(F.col("n1"), whole * (b / (a + b))) + part(miss0, (F.lit(a + b) - whole) * (a / (a + b))) + part(miss1, (F.lit(a + b) - whole) * (b / (a + b))))
     marks = (F.col("n1") + 0.5) / (b + 1) >= RATIO * (F.col("n0") + 0.5) / (a + 1)
     picked = found.where("n0 + n1 >= 3").where(marks).withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    picked = [r for r in picked if r["gain"] >= GAIN + GAIN_SHARE * picked[0]["gain"]]
     terms = [r["term"] for r in picked]
-    weights = {0: total[0] / a, 1: total[1] / b}
-    spread = np.array([r["n0"] * weights[0] + r["n1"] * weights[1] for r in picked], float)
+    weights = {0: (total[0] / a) / (total[1] / b), 1: 1.0}  # labelled documents that an example stands for, a toxic one as unit
+    spread = np.array([r["n0"] * total[0] / a + r["n1"] * total[1] / b for r in picked], float)
     idf = np.log(1 + sum(total.values()) / np.maximum(spread, 1))
     at = {t: i for i, t in enumerate(terms)}
 
