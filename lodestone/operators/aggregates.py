@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.filters import acl_predicate
+from lodestone.operators.graph import persist
 from lodestone.operators.search import rounded, vector_search
 
 
@@ -71,11 +72,24 @@ def retrieval_metrics(results: DataFrame, truth: DataFrame, k: int) -> DataFrame
 
 # ---------------------------------------------------------------- latency
 def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Values at index int(n * share) of the sorted values, as p50, p95, ..."""
-    n = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("n"))
-    at = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(value)) - 1).alias("i")).crossJoin(F.broadcast(n))
-    picks = [F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col("v"))).alias(f"p{round(100 * s)}") for s in shares]
-    return at.agg(*picks)
+    """Values at index int(n * share) of the sorted values, as p50, p95, ...
+
+    Values are dealt by ranges and kept; counts of the ranges say in which one each index falls, and only those
+    are numbered. An empty column gives nulls.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = persist(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).repartitionByRange(ranges, "v").withColumn("p", F.spark_partition_id()))
+    counts = {r["p"]: r["n"] for r in dealt.groupBy("p").agg(F.count("*").alias("n")).collect()}  # a row a range
+    total, before, at = sum(counts.values()), 0, {}
+    for p in sorted(counts):
+        for s in shares:
+            i = min(int(total * s), total - 1)
+            if before <= i < before + counts[p]:
+                at[s] = (p, i - before + 1)
+        before += counts[p]
+    numbered = dealt.where(F.col("p").isin([p for p, _ in at.values()])).withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("v")))
+    return numbered.agg(*[F.max(F.when((F.col("p") == at.get(s, (-1, 0))[0]) & (F.col("i") == at.get(s, (-1, 0))[1]), F.col("v"))).alias(f"p{round(100 * s)}") for s in shares])
 
 
 def latency_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
