@@ -1,7 +1,7 @@
 """Secret scans (operator 5): base patterns, and assignment-aware lexing.
 
 The lexer reads source and configuration syntax: name, separator (=, :=, :, =>), value. Names may be quoted or
-dotted; values are quoted literals, bare words, references to names bound before, ${name} and joins of those by
+dotted; names and values have any length. Values are quoted literals, bare words, references to names bound before, ${name} and joins of those by
 plus signs. Constants propagate: a literal bound to a harmless name is scored again under the sensitive name
 that it reaches. A literal is reported (kind lexed) if its target name and its own shape score high enough
 together and no base span covers it.
@@ -43,8 +43,12 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|none|null|true|false|example.*|change
 LEAST = 0.45
 
 _SEPARATOR = re.compile(r":=|=>|(?<![=!<>:])=(?!=)|(?<!:):(?![:/])")
-_NAME = re.compile(r"""(["']?)([A-Za-z_][\w.\-\[\]]{0,63})\1[ \t]{0,8}\Z""", re.ASCII)
-_TERM = re.compile(r"""[ \t]*(?:(?:[rbfu]{0,2})(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\\n]){1,512})(?P=q)|\$\{?(?P<env>[A-Za-z_]\w{0,63})\}?|(?P<bare>[^\s"'`,;#(){}\[\]+]{1,512}))""", re.ASCII)
+# A name before a separator, read backwards from it: no separator can stand in a name, so no character is read twice.
+_NAME = re.compile(r"""[ \t]*+(["']?)([\w.\-\[\]]++)""", re.ASCII)
+_FIRST = re.compile(r"[A-Za-z_]")
+_TERM = re.compile(r"""[ \t]*+(?:(?:[rbfu]{0,2})(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])++)(?P=q)|\$\{?(?P<env>[A-Za-z_]\w*+)\}?|(?P<bare>[^\s"'`,;#(){}\[\]+]))""", re.ASCII)
+_BARE = re.compile(r"""[^\s"'`,;#(){}\[\]+]++""", re.ASCII)
+_REFERENCE = re.compile(r"[A-Za-z_][\w.]*+", re.ASCII)
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`$A-Za-z_])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -67,20 +71,38 @@ def name_weight(name: str) -> float:
 
 def literal_shape(literal: str) -> float:
     """How much a literal looks like a secret, from 0 to 1: length, entropy, mix of character classes."""
-    n = len(literal)
-    if n < 6 or re.search(r"\s", literal) or PLACEHOLDERS.match(literal):
+    return 0.0 if len(literal) < 6 or PLACEHOLDERS.match(literal) else _shape(len(literal), Counter(literal))
+
+
+def _shape(n: int, counts: Counter) -> float:
+    """literal_shape of n characters from how often each occurs."""
+    used = "".join(counts)
+    if re.search(r"\s", used):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(bool(re.search(p, literal)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(bool(re.search(p, used)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
     return min(1.0, 0.25 * min(entropy, 4) / 4 + 0.25 * min(n, 20) / 20 + 0.25 * min(classes, 3) + (0.0 if classes > 1 else -0.25))
 
 
 def bindings(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
     """(name, spans of its literals, names that it refers to) for every assignment, in order."""
+    back, n = text[::-1], len(text)
+    run, joined = (0, 0, 0), {}  # of bare words: start, end, end without points and colons
+
+    def bare_run(start: int) -> tuple[int, int, int]:
+        end = cut = _BARE.match(text, start).end()
+        while cut > start and text[cut - 1] in ".:":
+            cut -= 1
+        return start, end, cut
+
     for m in _SEPARATOR.finditer(text):
-        left = _NAME.search(text, max(0, m.start() - 76), m.start())
+        left = _NAME.match(back, n - m.start())
         if not left:
             continue
+        begin, end = n - left.end(2), n - left.start(2)
+        first = _FIRST.search(text, begin, end)
+        if not first or left[1] and (first.start() > begin or text[begin - 1 : begin] != left[1]):
+            continue
         spans, names, at = [], [], m.end()
         while term := _TERM.match(text, at):
             if term["text"] is not None:
@@ -88,15 +110,24 @@ def bindings(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]
             elif term["env"]:
                 names.append(term["env"])
             else:
-                bare = term["bare"].rstrip(".:")
-                if re.fullmatch(r"[A-Za-z_][\w.]*", bare, re.ASCII):
-                    names.append(bare)
-                spans.append((term.start("bare"), term.start("bare") + len(bare)))
-            more = _JOIN.match(text, term.end())
+                start = term.start("bare")
+                if at > m.end():
+                    if start not in joined:
+                        _, stop, cut = bare_run(start)
+                        joined[start] = (stop, cut, text[start:cut] if _REFERENCE.fullmatch(text, start, cut) else None)
+                    stop, cut, word = joined[start]
+                else:  # separators inside one run share its end
+                    run = run if run[0] <= start < run[1] else bare_run(start)
+                    stop, cut = run[1], max(start, run[2])
+                    word = text[start:cut] if _REFERENCE.fullmatch(text, start, cut) else None
+                if word:
+                    names.append(word)
+                spans.append((start, cut))
+            more = _JOIN.match(text, stop if term["bare"] else term.end())
             if not more:
                 break
             at = more.end()
-        yield left[2], spans, names
+        yield text[first.start() : end], spans, names
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
@@ -105,6 +136,20 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         return []
     bound: dict[str, list[tuple[int, int]]] = {}
     found: set[tuple[int, int]] = set()
+    last: tuple[int, int, Counter] = (0, 0, Counter())
+    shapes: dict[tuple[int, int], float] = {}
+
+    def shape(a: int, b: int) -> float:
+        """literal_shape of a span; spans that end together are counted once."""
+        nonlocal last
+        if (a, b) not in shapes:
+            shapes[a, b] = 0.0
+            if b - a >= 6 and not PLACEHOLDERS.match(text[a:b]):
+                counts = last[2] - Counter(text[last[0] : a]) if b == last[1] and a >= last[0] else Counter(text[a:b])
+                last = (a, b, counts)
+                shapes[a, b] = _shape(b - a, counts)
+        return shapes[a, b]
+
     for name, spans, names in bindings(text):
         reached = list(spans)
         for n in names:
@@ -113,7 +158,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         bound[name] = reached
         weight = name_weight(name)
         if weight:
-            found |= {s for s in reached if weight * literal_shape(text[s[0] : s[1]]) >= LEAST}
+            found |= {s for s in reached if weight * shape(*s) >= LEAST}
     return sorted(found)
 
 

@@ -225,6 +225,18 @@ def test_secret_rows(spark):
     assert {r.text for r in clean.where("doc_id = 1").collect()} == {"[SECRET]"} and clean.where("text is null").count() == 1
 
 
+def test_secret_literals_of_any_length(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-/") for _ in range(2000))
+    name = "settings_" * 12 + "credential"
+    for text in (f'private_key = "{long}" # end', f"auth: {long} end", f'{name}   {" " * 20}= "{long}"', f'"{name}": "{long}"', f'base = "{long}"\n{name} = ${{base}}\n'):
+        assert [text[a:b] for a, b in secrets.lexed_spans(text)] == [long]
+        (row,) = secrets.redact(docs_of(spark, [(1, text)])).collect()
+        assert row.text == text.replace(long, "[SECRET]")
+    for text in ("auth=a1B&" * 20_000, '="' * 100_000, "a" * 200_000 + " = x", " " * 200_000 + "= x", 'auth = "' + "\\x" * 100_000, "a=b:" * 30_000 + "+" + "c" * 100_000):
+        secrets.lexed_spans(text)  # linear, or this would not end
+
+
 # ---------------------------------------------------------------- 6
 def brute_top(rows, queries, k):
     good = {}
