@@ -4,7 +4,7 @@ The lexer reads source and configuration syntax: name, separator (=, :=, :, =>),
 dotted; names and values have any length. Values are quoted literals, bare words, references to names bound before, ${name} and joins of those by
 plus signs. Constants propagate: a literal bound to a harmless name is scored again under the sensitive name
 that it reaches. A literal is reported (kind lexed) if its target name and its own shape score high enough
-together and no base span covers it.
+together and base spans do not cover all of it.
 
 Every text is a row of its own and nothing is shuffled. Defined cases: null text is empty; rows with repeated
 or null ids are rows like any other; other columns are ignored.
@@ -12,6 +12,7 @@ or null ids are rows like any other; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -163,9 +164,19 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and base and lexed spans together; lexed ones only where no base span overlaps."""
+    """Base spans, and base and lexed spans together; lexed ones unless base spans cover all of them."""
     base = base_spans(text)
-    extra = [(a, 3, b) for a, b in lexed_spans(text) if not any(a < e and s < b for s, _, e in base)]
+    covered: list[list[int]] = []  # base spans joined where they meet
+    for s, _, e in base:
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    extra = []
+    for a, b in lexed_spans(text):
+        i = bisect.bisect_right(covered, a, key=lambda c: c[0]) - 1
+        if i < 0 or covered[i][1] < b:
+            extra.append((a, 3, b))
     return base, sorted(base + extra) if extra else base
 
 

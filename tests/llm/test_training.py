@@ -237,6 +237,13 @@ def test_secret_literals_of_any_length(spark):
         secrets.lexed_spans(text)  # linear, or this would not end
 
 
+def test_secret_longer_than_its_base_span(spark):
+    text = 'password = "abc123!xyzQ9#tail" and token="abc123xyz"'
+    assert [text[a:b] for a, k, b in secrets.all_spans(text)[1] if k == 3] == ["abc123!xyzQ9#tail"]
+    (row,) = secrets.redact(docs_of(spark, [(1, text)])).collect()
+    assert row.text == '[SECRET]" and [SECRET]"'
+
+
 # ---------------------------------------------------------------- 6
 def brute_top(rows, queries, k):
     good = {}
