@@ -2,18 +2,18 @@
 
 Fitting. Labels are learned only from documents outside the held-out fold. At most EXAMPLES documents of each
 class are examples (the documents with the smallest hash of their id): that bound is the one on the model, and
-everything that is broadcast depends on it and on TERMS alone. Terms are words and word beginnings, once more
-for their second and third occurrence in a text; those whose
-presence marks toxic examples most (G statistic, at least RATIO times the other class's rate; equal texts count
-once) make the vocabulary.
-
-Scoring. Each document's TF-IDF vector over the vocabulary is compared with the examples. Postings are grouped
-in blocks of examples; a block whose bound (query weights times the block's greatest weights) cannot beat the
-worst of the K best so far is not scored, so the K nearest are exact. Votes are weighted by squared cosine and
-by how many labelled documents an example stands for; a prior of PRIOR votes has the rate of toxic labels among
-examples without any term. Nearest examples and the terms found are the evidence.
-
-Defined cases: null text is empty; a text without vocabulary terms has the prior rate as its score; conflicting
+everything that is broadcast depends on it and on TERMS alone. All words of the examples are terms. Words and word
+beginnings, once more for their second and third occurrence in a text, whose presence marks toxic examples most
+(G statistic, at least RATIO times the other class's rate; equal texts count once) are marks: terms as well, and
+weighted RATIO-fold. Document frequencies are counted over all documents.
+
+Scoring. Each document's TF-IDF vector over all words of the examples and the marks is compared with all examples
+of both classes. Postings are grouped in blocks of examples; a block whose bound (query weights times the block's
+greatest weights) cannot beat the worst of the K best so far is not scored, so the K nearest are exact. Votes are
+weighted by squared cosine and by how many labelled documents an example stands for; a prior of PRIOR votes has
+the rate of toxic labels among examples without any mark. Nearest examples and the marks found are the evidence.
+
+Defined cases: null text is empty; a text without a term has the prior rate as its score; conflicting
 labels of one id count as toxic; null labels are no labels; without labels of both classes every score is the
 share of toxic labels (0 without labels); every row gives one row, rows with repeated or null ids included
 (null: not held out); other columns are ignored. Label, language, source and id are no inputs of a score.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
 
-#: Labelled examples of each class at most, and terms of the vocabulary at most.
+#: Labelled examples of each class at most, and marks at most.
 EXAMPLES = 3000
 TERMS = 4000
 #: Least ratio of a term's rates in toxic and other examples.
@@ -41,9 +41,10 @@ RATIO = 4
 #: Least G statistic of a term: GAIN, and GAIN_SHARE of the greatest one (more examples bring more chance terms).
 GAIN = 10.0
 GAIN_SHARE = 0.005
-#: Neighbours that vote, examples of a block, weight of the prior.
+#: Neighbours that vote, examples of a block, blocks scored before the first bound, weight of the prior.
 K = 15
 BLOCK = 64
+FIRST_BLOCKS = 8
 PRIOR = 0.5
 #: Lengths of word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
@@ -83,35 +84,35 @@ class Index:
     toxic: np.ndarray
     weight: np.ndarray
     prior: float
-    first: np.ndarray  # (terms, blocks + 1): where a term's postings of a block begin
+    first: np.ndarray  # terms + 1: where a term's blocks begin
+    block: np.ndarray  # blocks that hold a term, by term, then block
+    most: np.ndarray  # greatest weight of the term there
+    start: np.ndarray  # where the term's postings of that block begin
     members: np.ndarray  # examples of the postings, by term, then example
     values: np.ndarray  # their normalised weights
-    most: np.ndarray  # (terms, blocks): greatest weight
-    seen: dict = field(default_factory=dict)
+    marks: frozenset = frozenset()  # indexes of the terms that are marks
     of_word: dict = field(default_factory=dict)
     bases: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, terms: list[str], idf: np.ndarray, rows: list[tuple], weights: dict[int, float], prior: float) -> "Index":
+    def build(cls, terms: list[str], idf: np.ndarray, rows: list[tuple], weights: dict[int, float], prior: float, marks: frozenset = frozenset()) -> "Index":
         """rows: (id, toxic, {term index: frequency}) of examples that have terms."""
         rows = sorted(rows, key=lambda r: r[0])
-        n, blocks = len(rows), -(-len(rows) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, (_, _, tf) in enumerate(rows):
-            v = {t: (1 + np.log(f)) * idf[t] for t, f in tf.items()}
-            norm = np.sqrt(sum(x * x for x in v.values()))
-            for t, x in v.items():
-                postings[t].append((i, x / norm))
-        flat = [p for ps in postings for p in ps]
-        members = np.array([i for i, _ in flat], np.int64)
-        values = np.array([x for _, x in flat])
-        term = np.repeat(np.arange(len(terms)), [len(p) for p in postings])
-        key = term * (blocks + 1) + members // BLOCK
-        first = np.searchsorted(key, np.arange(len(terms))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None]) if blocks else np.zeros((len(terms), 1), np.int64)
-        most = np.zeros((len(terms), blocks))
-        np.maximum.at(most, (term, members // BLOCK), values)
+        n = len(rows)
+        sizes = [len(tf) for _, _, tf in rows]
+        members = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        term = np.fromiter((t for _, _, tf in rows for t in tf), np.int64, sum(sizes))
+        values = (1 + np.log(np.fromiter((f for _, _, tf in rows for f in tf.values()), float, sum(sizes)))) * idf[term]
+        values /= np.sqrt(np.bincount(members, values * values, n))[members] if n else 1
+        order = np.lexsort((members, term))
+        members, term, values = members[order], term[order], values[order]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (members[1:] // BLOCK != members[:-1] // BLOCK)
+        start = np.flatnonzero(new)
+        most = np.maximum.reduceat(values, start) if len(start) else values
+        first = np.searchsorted(term[start], np.arange(len(terms) + 1))
         toxic = np.array([y for _, y, _ in rows], float)
-        return cls({t: i for i, t in enumerate(terms)}, idf, np.array([r[0] for r in rows], np.int64), toxic, np.array([weights[int(y)] for y in toxic] or [], float).reshape(n), prior, first, members, values, most)
+        return cls({t: i for i, t in enumerate(terms)}, idf, np.array([r[0] for r in rows], np.int64), toxic, np.array([weights[int(y)] for y in toxic] or [], float).reshape(n), prior, first, members[start] // BLOCK, most, np.append(start, len(term)), members, values, marks)
 
     def vector(self, text: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
         """Vocabulary terms of a text and their frequencies."""
@@ -141,35 +142,44 @@ class Index:
         if not norm or not len(self.ids):
             return []
         q /= norm
-        bound = q @ self.most[t]
+        pairs, w = _ranges(self.first[t], self.first[t + 1], q)
+        where = self.block[pairs]
+        bound = np.bincount(where, w * self.most[pairs], -(-len(self.ids) // BLOCK))
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-12 < best[-1][0]:
+        order = np.argsort(-bound, kind="stable")
+        order, at = order[bound[order] > 0], 0
+        while at < len(order):
+            # a few blocks until there are k examples, then all that can still beat the worst of them
+            upto = at + FIRST_BLOCKS if len(best) < k else at + int(np.count_nonzero(bound[order[at:]] + 1e-12 >= best[-1][0]))
+            if upto == at:
                 break
-            score = np.zeros(BLOCK)
-            for i, w in zip(keys, q):
-                lo, hi = self.first[i, b], self.first[i, b + 1]
-                if hi > lo:
-                    score[self.members[lo:hi] - b * BLOCK] += w * self.values[lo:hi]
+            taken = np.zeros(len(bound), bool)
+            taken[order[at:upto]] = True
+            some = taken[where]
+            postings, v = _ranges(self.start[pairs[some]], self.start[pairs[some] + 1], w[some])
+            score = np.round(np.bincount(self.members[postings], v * self.values[postings], len(self.ids)), 12)
             hit = np.flatnonzero(score > 0)
-            best = sorted([*best, *((float(round(score[j], 12)), int(b * BLOCK + j)) for j in hit)], key=lambda x: (-x[0], x[1]))[:k]
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+            best = sorted([*best, *zip(score[hit].tolist(), hit.tolist())], key=lambda x: (-x[0], x[1]))[:k]
+            at = upto
         return best
 
     def score(self, text: str) -> tuple[float, list[int], list[int]]:
-        """Score, ids of the nearest examples, terms found."""
+        """Score, ids of the nearest examples, marks found."""
         keys, tf = self.vector(text)
         if not keys:
             return self.prior, [], []
-        known = self.seen.get((keys, tf))
-        if known is None:
-            best = self.nearest(keys, tf)
-            votes = [s * s * self.weight[i] for s, i in best]
-            toxic = sum(v * self.toxic[i] for v, (_, i) in zip(votes, best))
-            known = (float((toxic + PRIOR * self.prior) / (sum(votes) + PRIOR)), [int(self.ids[i]) for _, i in best[:5]], list(keys))
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[(keys, tf)] = known
-        return known
+        best = self.nearest(keys, tf)
+        votes = [s * s * self.weight[i] for s, i in best]
+        toxic = sum(v * self.toxic[i] for v, (_, i) in zip(votes, best))
+        return float((toxic + PRIOR * self.prior) / (sum(votes) + PRIOR)), [int(self.ids[i]) for _, i in best[:5]], [t for t in keys if t in self.marks]
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions from lo to hi, and w once for each."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(w, n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds_left_out: bool = True) -> Index:
@@ -197,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "n0": pa.array([seen[0][t] for t in names], pa.int64()), "n1": pa.array([seen[1][t] for t in names], pa.int64())})
 
     found = sample.select("text", "y").mapInArrow(stats, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = cut(found)
     a, b = float(sizes[0]), float(sizes[1])
     whole = F.col("n0") + F.col("n1")
 
@@ -205,14 +216,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     miss0, miss1 = F.lit(a) - F.col("n0"), F.lit(b) - F.col("n1")
     gain = 2 * (part(F.col("n0"), whole * (a / (a + b))) + part(F.col("n1"), whole * (b / (a + b))) + part(miss0, (F.lit(a + b) - whole) * (a / (a + b))) + part(miss1, (F.lit(a + b) - whole) * (b / (a + b))))
-    marks = (F.col("n1") + 0.5) / (b + 1) >= RATIO * (F.col("n0") + 0.5) / (a + 1)
-    picked = found.where("n0 + n1 >= 3").where(marks).withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
-    picked = [r for r in picked if r["gain"] >= GAIN + GAIN_SHARE * picked[0]["gain"]]
-    terms = [r["term"] for r in picked]
-    weights = {0: (total[0] / a) / (total[1] / b), 1: 1.0}  # labelled documents that an example stands for, a toxic one as unit
-    spread = np.array([r["n0"] * total[0] / a + r["n1"] * total[1] / b for r in picked], float)
-    idf = np.log(1 + sum(total.values()) / np.maximum(spread, 1))
+    marked = (F.col("n1") + 0.5) / (b + 1) >= RATIO * (F.col("n0") + 0.5) / (a + 1)
+    picks = found.where("n0 + n1 >= 3").where(marked).withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    picked = {r["term"] for r in picks if r["gain"] >= GAIN + GAIN_SHARE * picks[0]["gain"]}
+    words = found.where("not contains(term, '-') and not contains(term, '*')").select("term").collect()  # of the examples
+    terms = sorted(picked.union(r["term"] for r in words))
     at = {t: i for i, t in enumerate(terms)}
+    marks = frozenset(at[t] for t in picked)
+    n_docs, spread = frequencies(docs, Index.build(terms, np.zeros(len(terms)), [], {}, rate), text_col)
+    weights = {0: (total[0] / a) / (total[1] / b), 1: 1.0}  # labelled documents that an example stands for, a toxic one as unit
+    idf = np.log(1 + n_docs / np.maximum(spread, 1))
+    idf[list(marks)] *= RATIO
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +238,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["id", "y", "t", "n"])
 
     rows = sample.mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").collect()  # at most 2 * EXAMPLES
-    bare = {y: sum(1 for r in rows if r["y"] == y and not r["t"]) * weights[y] for y in (0, 1)}
+    bare = {y: sum(1 for r in rows if r["y"] == y and marks.isdisjoint(r["t"])) * weights[y] for y in (0, 1)}
     prior = (bare[1] + rate) / (bare[0] + bare[1] + 1)
-    return Index.build(terms, idf, [(r["id"], r["y"], dict(zip(r["t"], r["n"]))) for r in rows if r["t"]], weights, float(prior))
+    return Index.build(terms, idf, [(r["id"], r["y"], dict(zip(r["t"], r["n"]))) for r in rows if r["t"]], weights, float(prior), marks)
+
+
+def frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[int, np.ndarray]:
+    """Number of documents, and in how many of them each term of the index stands."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        seen, n = np.zeros(len(model.terms), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for text in batch.column("text"):
+                seen[list(model.vector(text.as_py() or "")[0])] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(seen[at], n), pa.int64())})
+
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "t long, n long")
+    found = parts.groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each term
+    t, n = found.column("t").to_numpy(), found.column("n").to_numpy()
+    spread = np.zeros(len(index.terms))
+    spread[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), spread
 
 
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -333,6 +333,22 @@ def test_toxicity_held_out(spark, prose):
     assert toxicity.score_toxicity(docs.limit(0), index).count() == 0
 
 
+def test_toxicity_compares_all_words(spark, prose):
+    _, _, make = prose
+    ids = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, make(40) + (" zzvile qqfoul" if i % 6 == 0 else "")) for i in ids]
+    plain = ids[6]
+    rows[6] = (plain, "unmarked words that no other text here holds yet labelled by somebody as toxic")
+    labels = [(i, int(i % 6 == 0 or i == plain), 1) for i in ids]
+    extra = [(5000 + i, "labelled elsewhere") for i in range(50)] + [(6000, rows[6][1] + " again")]
+    docs = docs_of(spark, rows + extra)
+    index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    copy = next(r for r in toxicity.score_toxicity(docs, index).collect() if r.doc_id == 6000)
+    assert copy.evidence[0] == plain and copy.predicted == 1 and copy.found == []
+    assert set(ids) == set(index.ids.tolist())
+    assert index.idf[index.terms["labelled"]] == np.log(1 + len(rows + extra) / 52)  # of all documents
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(4)
     rows = [(i, int(i % 3 == 0), {int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 8), replace=False)}) for i in range(500)]
