@@ -6,7 +6,8 @@ class or id, heading). A decision tree (CART, Gini), trained at import on the sm
 says which blocks are main text. Kept blocks are joined by one space.
 
 Every page is a row of its own and nothing is shuffled. Defined cases: null or empty html gives empty text;
-unclosed elements end with the element around them; rows with repeated or null ids are rows like any other;
+unclosed elements end with the element around them, also those whose text is dropped (DROPPED; raw text, RAW,
+goes on to its own end tag as in a browser); math is text; rows with repeated or null ids are rows like any other;
 other columns are ignored.
 """
 
@@ -151,9 +152,10 @@ def tree() -> Node:
 
 
 # Element names by their part in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded menclose mfenced".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select button option canvas audio video noembed noframes head".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+DROPPED = frozenset("noscript template svg object select datalist optgroup option button canvas audio video annotation annotation-xml".split())
 FRAME = frozenset("nav footer aside form menu dialog fieldset".split())
 SELF_ENDING = frozenset("p li dt dd tr td th option".split())
 HINT = re.compile(
@@ -173,7 +175,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
     pieces: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int]] = []
-    # bits: 1 article, 2 frame, 4 hint, 8 heading, 16 link
+    # bits: 1 article, 2 frame, 4 hint, 8 heading, 16 link, 32 dropped (no other bit changes inside)
     state = at = 0
 
     def flush() -> None:
@@ -188,7 +190,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
     while at < n:
         m = _TOKEN.search(page, at)
         chunk = page[at : m.start() if m else n]
-        if chunk:
+        if chunk and not state & 32:
             pieces.append(chunk)
             if state & 16:
                 linked.append(chunk)
@@ -196,39 +198,43 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, int]]:
             break
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not state & 32:
                 pieces.append(html.escape(m[0][9:-3]))
             continue
         tag = m[2].lower()
-        if tag in RAW and not m[1]:
+        if not m[1]:
             if tag == "head":  # its own text elements are skipped one by one
                 continue
-            if not m[3].endswith("/"):
-                end = _ENDS[tag].search(page, at)
-                at = end.end() if end else n
-            continue
-        if tag == "br":
-            pieces.append(" ")
-        elif tag not in INLINE:
-            flush()
-        if m[1]:
+            if tag in RAW:
+                if not m[3].endswith("/"):
+                    end = _ENDS[tag].search(page, at)
+                    at = end.end() if end else n
+                continue
+            if tag in DROPPED and m[3].endswith("/"):
+                continue
+        ended = -1  # the open element that ends here
+        if m[1] or tag in SELF_ENDING:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    state = stack[i][1]
-                    del stack[i:]
+                    ended = i
                     break
-                if tag in INLINE and stack[i][0] not in INLINE:
+                if stack[i][0] not in INLINE and (tag in INLINE if m[1] else stack[i][0] not in SELF_ENDING):
                     break
-        elif tag not in VOID:
-            if tag in SELF_ENDING:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        state = stack[i][1]
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] not in SELF_ENDING:
-                        break
+        if not state & 32 or ended >= 0 and not stack[ended][1] & 32:
+            if tag == "br":
+                pieces.append(" ")
+            elif tag not in INLINE and tag not in DROPPED:
+                flush()
+        if ended >= 0:
+            state = stack[ended][1]
+            del stack[ended:]
+        if not m[1] and tag not in VOID:
             stack.append((tag, state))
+            if state & 32:
+                continue
+            if tag in DROPPED:
+                state |= 32
+                continue
             if tag == "a":
                 state |= 16
             elif tag in ("article", "main"):

@@ -298,6 +298,15 @@ def test_main_text():
     assert html_text.main_text(plain) == " ".join(long.split())
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x") == ""
 
+def test_main_text_after_unclosed_elements():
+    long = "Some plain words of a story that goes on for a good while without any links in it at all, as stories do."
+    article = f"<article><p>{long}</p></article>"
+    for open_ in ("<datalist><option value=a>x<option value=b>y</datalist>", "<select><option>x", "<object>x", "<button>x", "<video><source>x", "<svg><path><text>x"):
+        assert html_text.main_text(f"<body><form>{open_}</form>{article}") == long
+        assert html_text.main_text(f"<body><div>{open_}</div>{article}<p>Go <button>x</button></p>") == long
+    inside = f"<article><p>{long} Then <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds<svg class=share><p>no</p></svg>.</p></article>"
+    assert html_text.main_text(inside) == f"{long} Then x=2 holds."
+
 
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (1, None, None, 3), (None, "v", "<p", 3)], "page_id long, url string, html string, n_chars int")
