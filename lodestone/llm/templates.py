@@ -5,14 +5,17 @@ and for names (capitalised words that do not begin a sentence). Windows of WINDO
 placeholders, so that a question with other numbers, units or names keeps its windows. Windows of documents
 meet windows of benchmark items in a hash join. Matches on one diagonal (position in the document less position
 in the item) must map each slot value of the item to one value of the document; diagonals that do not are no
-evidence. A document is linked with an item if consistent windows cover at least COVER of the item's windows.
+evidence. Every window is also hashed over its words, numbers, units and names as they stand (verbatim windows).
+A document is linked with an item if consistent windows, or verbatim ones, cover at least COVER of the item's
+windows of that sort, or if RUN consecutive words stand in both. The counts and the share that are returned are
+those of windows with slots where these link, else those of verbatim windows.
 
 The benchmark's distinct window hashes filter the documents' windows before the join while they are at most
 FILTER_WINDOWS (8 bytes each, broadcast); beyond that all windows are joined in a shuffle.
 
 Defined cases: null or empty texts have no windows; items shorter than a window are one window of their own
-length; windows with fewer than LITERALS ordinary words (or all of them, if the item has fewer) are not used,
-and an item without a usable window is linked with nothing; rows without an id take no part; rows with equal
+length; windows with fewer than LITERALS ordinary words (or all of them, if the item has fewer) are used verbatim
+only; rows without an id take no part; rows with equal
 ids are one document or item; repeated rows change nothing; other columns are ignored.
 """
 
@@ -31,6 +34,8 @@ from lodestone.llm.common import chunks, mix, prefix_hash, utf8
 WINDOW = 8
 LITERALS = 4
 COVER = 0.5
+#: Consecutive words that link a document with an item whatever their share is.
+RUN = 13
 #: Most distinct window hashes of the benchmark that are broadcast as a filter.
 FILTER_WINDOWS = 2_000_000
 
@@ -63,12 +68,12 @@ def _unit_hashes() -> np.ndarray:
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Starts, ends and codes of the tokens of texts, and n + 1 offsets of the texts' tokens. A code is 1, 2 or 3
-    for a number, unit or name, else a hash of the word in ASCII lower case."""
+    """Starts, ends and codes of the tokens of texts, n + 1 offsets of the texts' tokens, and hashes of the tokens in
+    ASCII lower case. A code is 1, 2 or 3 for a number, unit or name, else that hash."""
     n = len(data)
     empty = np.empty(0, np.int64)
     if not n:
-        return empty, empty, np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return empty, empty, np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.uint64)
     kind = _LETTER[data] + 2 * _DIGIT[data].astype(np.int8)
     inner = np.zeros(n, bool)  # a point or comma between digits belongs to the number
     if n > 2:
@@ -85,7 +90,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     solid = kind[begin] > 0
     starts, ends = begin[solid], stop[solid]
     at = np.searchsorted(starts, offsets)
-    code = _word_hash(data, starts, ends)
+    plain = _word_hash(data, starts, ends)
+    code = plain.copy()
     number = kind[starts] == 2
     code[number] = _NUMBER
     if len(starts) > 1:
@@ -100,7 +106,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         name[1:] = follows & _UPPER[data[starts[1:]]] & (stops[starts[1:]] == stops[ends[:-1]])
         code[name & ~number] = _NAME
         code[unit] = _UNIT
-    return starts, ends, code, at
+    return starts, ends, code, at, plain
 
 
 def windows(code: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,8 +129,12 @@ _ROWS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64())
 _ROWS_DDL = "id long, hash long, pos long, slots array<string>"
 
 
+#: Sets hashes of verbatim windows apart.
+_VERBATIM = np.uint64(0x5851F42D4C957F2D)
+
+
 def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
-    """(id, hash, pos, slots) of the windows of every text; widths None: WINDOW, or the whole of shorter texts.
+    """(id, hash, pos, slots) of the windows of every text, slots null for verbatim ones; widths None: WINDOW, or the whole of shorter texts.
     wanted: sorted hashes to keep."""
     shared = table.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
@@ -138,24 +148,27 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int]
             data, offsets = utf8(batch.column("text"))
             for lo, hi in chunks(offsets):
                 part = data[offsets[lo] : offsets[hi]]
-                starts, ends, code, at = tokens(part, offsets[lo : hi + 1] - offsets[lo])
+                starts, ends, code, at, plain = tokens(part, offsets[lo : hi + 1] - offsets[lo])
                 sizes = np.diff(at)
                 for width in widths or sorted({int(min(s, WINDOW)) for s in sizes if s}):
-                    first, text, hashed = windows(code, at, width)
-                    if widths is None:
-                        good = np.minimum(sizes[text], WINDOW) == width
-                        first, text, hashed = first[good], text[good], hashed[good]
-                    if keep is not None:
-                        good = np.flatnonzero(sieve[(hashed & np.uint64((1 << 22) - 1)).astype(np.int64)])
-                        spot = np.minimum(np.searchsorted(keep, hashed[good]), len(keep) - 1)
-                        good = good[keep[spot] == hashed[good]]
-                        first, text, hashed = first[good], text[good], hashed[good]
-                    if not len(first):
-                        continue
-                    slots = []
-                    for f in first.tolist():
-                        slots.append([bytes(part[starts[i] : ends[i]]).decode(errors="replace").lower() for i in range(f, f + width) if code[i] <= _NAME])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text]), pa.array(hashed.view(np.int64)), pa.array(first - at[text]), pa.array(slots, pa.list_(pa.string()))], schema=_ROWS)
+                    for verbatim in (False, True):
+                        first, text, hashed = windows(plain if verbatim else code, at, width)
+                        if verbatim:
+                            hashed = mix(hashed ^ _VERBATIM)
+                        if widths is None:
+                            good = np.minimum(sizes[text], WINDOW) == width
+                            first, text, hashed = first[good], text[good], hashed[good]
+                        if keep is not None:
+                            good = np.flatnonzero(sieve[(hashed & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                            spot = np.minimum(np.searchsorted(keep, hashed[good]), len(keep) - 1)
+                            good = good[keep[spot] == hashed[good]]
+                            first, text, hashed = first[good], text[good], hashed[good]
+                        if not len(first):
+                            continue
+                        slots = [None] * len(first)
+                        if not verbatim:
+                            slots = [[bytes(part[starts[i] : ends[i]]).decode(errors="replace").lower() for i in range(f, f + width) if code[i] <= _NAME] for f in first.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text]), pa.array(hashed.view(np.int64)), pa.array(first - at[text]), pa.array(slots, pa.list_(pa.string()))], schema=_ROWS)
 
     picked = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, _ROWS_DDL)
@@ -164,7 +177,8 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int]
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
     """Linked pairs: id, item_id, n_windows, item_windows, coverage, reparameterised."""
     items = window_rows(benchmark, "item_id", "text", None).select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("hash").alias("item_windows"))
+    typed, verbatim = F.col("islots").isNotNull(), F.col("islots").isNull()
+    sizes = items.groupBy("item_id").agg(F.countDistinct(F.when(typed, F.col("hash"))).alias("all_typed"), F.countDistinct(F.when(verbatim, F.col("hash"))).alias("all_verbatim"))
     distinct = items.select("hash").distinct()
     known = distinct.limit(FILTER_WINDOWS + 1).collect()
     wanted = np.sort(np.array([r["hash"] for r in known], np.int64).view(np.uint64)) if len(known) <= FILTER_WINDOWS else None
@@ -173,17 +187,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("text").cast("string").alias("text"))
     widths = sorted({r["w"] for r in rows.mapInArrow(_widths, "w int").distinct().collect()}) or [WINDOW]  # at most WINDOW values
     hits = window_rows(docs, id_col, text_col, widths, wanted)
-    met = hits.join(items, "hash")
+    met = hits.join(items, "hash").where(F.col("slots").isNull() == verbatim)
     pairs = F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))
     # slot values of one diagonal: (item value, document value) must be a function
     lined = met.groupBy("id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
-        F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        F.collect_set(F.struct(verbatim.alias("verbatim"), "hash")).alias("hashes"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.array_sort(F.collect_set(F.when(verbatim, F.col("ipos")))).alias("at"),
     )
     values = F.transform("pairs", lambda p: F.coalesce(p["i"], F.lit("")))
     consistent = lined.where(F.size(F.array_distinct(values)) == F.size(values))
     changed = F.exists("pairs", lambda p: ~p["i"].eqNullSafe(p["d"]))
-    linked = consistent.select("id", "item_id", F.explode("hashes").alias("hash"), changed.alias("changed")).groupBy("id", "item_id").agg(F.countDistinct("hash").alias("n_windows"), F.max("changed").alias("reparameterised"))
-    out = linked.join(sizes, "item_id").withColumn("coverage", F.col("n_windows") / F.col("item_windows")).where(F.col("coverage") >= cover)
+    run = RUN - WINDOW + 1  # verbatim windows, each one token on
+    follows = F.exists(F.sequence(F.lit(run), F.size("at")), lambda i: F.element_at("at", i.cast("int")) - F.element_at("at", (i - (run - 1)).cast("int")) == run - 1)
+    long = F.when(F.size("at") >= run, follows).otherwise(False)
+    parts = consistent.select("id", "item_id", F.explode("hashes").alias("h"), changed.alias("changed"), long.alias("long"))
+    linked = parts.groupBy("id", "item_id").agg(
+        F.countDistinct(F.when(~F.col("h.verbatim"), F.col("h.hash"))).alias("typed"), F.countDistinct(F.when(F.col("h.verbatim"), F.col("h.hash"))).alias("verbatim"), F.max("changed").alias("changed"), F.max("long").alias("long")
+    )
+    by_slots = (F.col("typed") > 0) & (F.col("typed") >= cover * F.col("all_typed"))
+    out = linked.join(sizes, "item_id").where(by_slots | F.col("long") | (F.col("verbatim") > 0) & (F.col("verbatim") >= cover * F.col("all_verbatim")))
+    out = out.select("id", "item_id", F.when(by_slots, F.col("typed")).otherwise(F.col("verbatim")).alias("n_windows"), F.when(by_slots, F.col("all_typed")).otherwise(F.col("all_verbatim")).alias("item_windows"), (by_slots & F.col("changed")).alias("reparameterised"))
+    out = out.withColumn("coverage", F.col("n_windows") / F.col("item_windows"))
     return out.select(F.col("id").alias(id_col), "item_id", "n_windows", "item_windows", "coverage", "reparameterised")
 
 

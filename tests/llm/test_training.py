@@ -188,6 +188,21 @@ def test_decontamination(spark):
     assert templates.contaminated(docs_of(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_verbatim(spark, prose):
+    _, words, _ = prose
+    long = " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i, w in enumerate(words))
+    names = "Ask Anna Berg, Carl Dahl, Emil Falk and Greta Holm at 10 or 11 or 12"
+    items = spark.createDataFrame([(1, "What is 15% of 240?"), (2, long), (3, names)], "item_id long, text string")
+    part = long.split()
+    rows = [
+        (1, "Q - What is 15% of 240? A: 36."), (2, "What is 16% of 240?"), (3, f"see {' '.join(part[100:113])} there"), (4, f"see {' '.join(part[100:112])} there"),
+        (5, f"He said {names} today"), (6, long),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in templates.contaminated(docs_of(spark, rows), items).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 2)}
+    assert not any(r.reparameterised for r in got.values()) and got[6, 2].coverage == 1 and got[3, 2].n_windows == 6
+
+
 def test_template_filter_is_only_a_filter(spark, monkeypatch):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
     docs = docs_of(spark, [(1, "zero one two three four five six seven eight nine ten"), (2, "other words")])
