@@ -113,14 +113,25 @@ def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def resolve_names(entities: DataFrame, ratio: float = 0.85) -> DataFrame:
-    """(old, new): names as alike as ratio (1 - edit distance / longer length), linked within blocks of equal first
-    letters and word counts, mapped to the smallest id of their component."""
-    block = F.concat_ws("|", F.substring("id", 1, 2), F.size(F.split("id", " ")).cast("string"))
-    named = entities.select("id", block.alias("b"), F.length("id").alias("n"))
-    other = named.select(F.col("id").alias("id2"), "b", F.col("n").alias("n2"))
+    """(old, new): names as alike as ratio (above 0; 1 - edit distance / longer length), mapped to the smallest id of
+    their component. Candidates are exact: of the longer name's k + 1 parts, k edits at most leave one whole, which
+    then stands in the shorter name at most k characters off its place."""
+
+    def parts(names: DataFrame) -> DataFrame:
+        """Each part of a name of length m: number, start and length."""
+        k = F.floor((1 - ratio) * F.col("m") + 1e-9).cast("int")
+        cut = names.withColumn("k", k).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k"))))
+        start, end = (F.floor((F.col("part") + i) * F.col("m") / (F.col("k") + 1)).cast("int") for i in (0, 1))
+        return cut.withColumn("start", start).withColumn("size", end - start)
+
+    named = entities.select("id", F.length("id").alias("n")).distinct()
+    whole = parts(named.withColumn("m", F.col("n"))).select("m", "part", F.expr("substring(id, start + 1, size)").alias("text"), F.col("id").alias("id2"))
     # lengths that differ by more than 1 - ratio cannot reach it
-    near = named.join(other, "b").where((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= ratio * F.greatest("n", "n2")))
-    alike = near.where(1 - F.levenshtein("id", "id2") / F.greatest("n", "n2") >= ratio)
+    lengths = named.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / ratio + 1e-9).cast("int"))))
+    places = parts(lengths).withColumn("lo", F.greatest(F.lit(0), F.col("start") - F.col("k"))).withColumn("hi", F.least(F.col("start") + F.col("k"), F.col("n") - F.col("size"))).where("lo <= hi")
+    places = places.withColumn("at", F.explode(F.expr("sequence(lo, greatest(lo, hi))"))).select("m", "part", F.expr("substring(id, at + 1, size)").alias("text"), "id").distinct()
+    near = places.join(whole, ["m", "part", "text"]).where("id <> id2").select("id", "id2", "m").distinct()
+    alike = near.where(1 - F.levenshtein("id", "id2") / F.greatest(F.col("m"), F.lit(1)) >= ratio).select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
     return components(alike.select(F.col("id").alias("src"), F.col("id2").alias("dst"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
 
 

@@ -123,6 +123,36 @@ def test_resolve_names(spark):
     assert {(r.old, r.new) for r in G.resolve_names(e).collect()} == {("acme corp", "acme corp"), ("acme corq", "acme corp")}
 
 
+def test_resolve_names_meets_all_pairs(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(9)
+    names = {"anderson", "enderson", "new york city", "newyork city", "\u00e9clair shop", "eclair shop", ""}
+    for _ in range(60):
+        name = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 24))).strip()
+        names.add(name)
+        for _ in range(2):
+            at = rng.randrange(len(name) + 1)
+            name = name[:at] + rng.choice(["", "x", "yy"]) + name[at + rng.randint(0, 2) :]
+            names.add(name)
+    group = {n: n for n in names}
+    pairs = {(a, b) for a in names for b in names if a < b and 1 - distance(a, b) / max(len(a), len(b)) >= 0.85}
+    for _ in names:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    want = {(n, group[n]) for pair in pairs for n in pair}
+    e = spark.createDataFrame([(n,) for n in names], "id string")
+    assert {(r.old, r.new) for r in G.resolve_names(e).collect()} == want and ("enderson", "anderson") in want
+
+
 def test_sections(spark):
     docs = spark.createDataFrame([(1, "intro\n# A\nx\n## B\ny\n# C\nz"), (2, "")], "doc_id int, text string")
     nodes = D.sections(docs).orderBy("position").collect()
