@@ -3,7 +3,7 @@
 The lexer reads source and configuration syntax: name, separator (=, :=, :, =>), value. Names may be quoted or
 dotted; names and values have any length. Values are quoted literals, bare words, references to names bound before, ${name} and joins of those by
 plus signs. Constants propagate: a literal bound to a harmless name is scored again under the sensitive name
-that it reaches. A literal is reported (kind lexed) if its target name and its own shape score high enough
+that it reaches; weights pass from names to what they refer to, so texts that refer to themselves cost no more. A literal is reported (kind lexed) if its target name and its own shape score high enough
 together and base spans do not cover all of it.
 
 Every text is a row of its own and nothing is shuffled. Defined cases: null text is empty; rows with repeated
@@ -39,7 +39,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 # Parts of names that make a target sensitive, with weights; words that mark a placeholder.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "auth": 0.6, "bearer": 0.8, "key": 0.5, "pin": 0.4, "salt": 0.4}
 QUALIFIERS = {"api": 0.5, "access": 0.5, "private": 0.5, "secret": 0.5, "signing": 0.5, "encryption": 0.5, "master": 0.3, "client": 0.3, "db": 0.2}
-PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|none|null|true|false|example.*|changeme|placeholder|your[_-].*|todo|redacted|<.*>|\$\{.*\}|%\w+%)$")
+PLACEHOLDERS = re.compile(r"(?i)(?:x+|\*+|none|null|true|false|example.*|changeme|placeholder|your[_-].*|todo|redacted|<.*>|\$\{.*\}|%\w+%)")
 #: Least product of name weight and literal shape for a report.
 LEAST = 0.45
 
@@ -72,7 +72,7 @@ def name_weight(name: str) -> float:
 
 def literal_shape(literal: str) -> float:
     """How much a literal looks like a secret, from 0 to 1: length, entropy, mix of character classes."""
-    return 0.0 if len(literal) < 6 or PLACEHOLDERS.match(literal) else _shape(len(literal), Counter(literal))
+    return 0.0 if len(literal) < 6 or PLACEHOLDERS.fullmatch(literal) else _shape(len(literal), Counter(literal))
 
 
 def _shape(n: int, counts: Counter) -> float:
@@ -135,8 +135,6 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    bound: dict[str, list[tuple[int, int]]] = {}
-    found: set[tuple[int, int]] = set()
     last: tuple[int, int, Counter] = (0, 0, Counter())
     shapes: dict[tuple[int, int], float] = {}
 
@@ -145,21 +143,34 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         nonlocal last
         if (a, b) not in shapes:
             shapes[a, b] = 0.0
-            if b - a >= 6 and not PLACEHOLDERS.match(text[a:b]):
-                counts = last[2] - Counter(text[last[0] : a]) if b == last[1] and a >= last[0] else Counter(text[a:b])
+            if b - a >= 6 and not PLACEHOLDERS.fullmatch(text, a, b):
+                if b != last[1]:
+                    counts = Counter(text[a:b])
+                else:
+                    counts = last[2] - Counter(text[last[0] : a]) if a >= last[0] else last[2] + Counter(text[a : last[0]])
                 last = (a, b, counts)
                 shapes[a, b] = _shape(b - a, counts)
         return shapes[a, b]
 
+    # a binding keeps its own literals and the bindings that it refers to, never copies of theirs
+    own: list[list[tuple[int, int]]] = []
+    refers: list[set[int]] = []
+    weights: list[float] = []
+    bound: dict[str, int] = {}
     for name, spans, names in bindings(text):
-        reached = list(spans)
-        for n in names:
-            if n in bound:  # a reference, not a literal: drop the bare word itself
-                reached = [s for s in reached if text[s[0] : s[1]] != n] + bound[n]
-        bound[name] = reached
-        weight = name_weight(name)
+        known = {n for n in names if n in bound}  # a reference, not a literal: the bare word itself is dropped
+        longest = max(map(len, known), default=0)
+        own.append([s for s in spans if s[1] - s[0] > longest or text[s[0] : s[1]] not in known] if known else spans)
+        refers.append({bound[n] for n in known})
+        weights.append(name_weight(name))
+        bound[name] = len(own) - 1
+    found: set[tuple[int, int]] = set()
+    for i in range(len(own) - 1, -1, -1):  # references point back, so a weight is final when its turn comes
+        weight = weights[i]
         if weight:
-            found |= {s for s in reached if weight * shape(*s) >= LEAST}
+            for j in refers[i]:
+                weights[j] = max(weights[j], weight)
+            found |= {s for s in own[i] if weight * shape(*s) >= LEAST}
     return sorted(found)
 
 
