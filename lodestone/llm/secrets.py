@@ -86,15 +86,16 @@ def _shape(n: int, counts: Counter) -> float:
 
 
 def bindings(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
-    """(name, spans of its literals, names that it refers to) for every assignment, in order."""
+    """(name, spans of its literals, names that it refers to) for every assignment, in order. A bare word that holds
+    a separator begins an assignment of its own, which takes what is joined after it; so each join is read once."""
     back, n = text[::-1], len(text)
-    run, joined = (0, 0, 0), {}  # of bare words: start, end, end without points and colons
+    run, joined = (0, 0, 0, 0), {}  # of bare words: start, end, end without points and colons, end of the last separator
 
-    def bare_run(start: int) -> tuple[int, int, int]:
+    def bare_run(start: int) -> tuple[int, int, int, int]:
         end = cut = _BARE.match(text, start).end()
         while cut > start and text[cut - 1] in ".:":
             cut -= 1
-        return start, end, cut
+        return start, end, cut, max((x.end() for x in _SEPARATOR.finditer(text, start, end)), default=-1)
 
     for m in _SEPARATOR.finditer(text):
         left = _NAME.match(back, n - m.start())
@@ -114,16 +115,20 @@ def bindings(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]
                 start = term.start("bare")
                 if at > m.end():
                     if start not in joined:
-                        _, stop, cut = bare_run(start)
-                        joined[start] = (stop, cut, text[start:cut] if _REFERENCE.fullmatch(text, start, cut) else None)
-                    stop, cut, word = joined[start]
+                        _, stop, cut, inner = bare_run(start)
+                        joined[start] = (stop, cut, inner, text[start:cut] if _REFERENCE.fullmatch(text, start, cut) else None)
+                    stop, cut, inner, word = joined[start]
+                    if inner > 0:
+                        break
                 else:  # separators inside one run share its end
                     run = run if run[0] <= start < run[1] else bare_run(start)
-                    stop, cut = run[1], max(start, run[2])
+                    stop, cut, inner = run[1], max(start, run[2]), run[3]
                     word = text[start:cut] if _REFERENCE.fullmatch(text, start, cut) else None
                 if word:
                     names.append(word)
                 spans.append((start, cut))
+                if inner > start:
+                    break
             more = _JOIN.match(text, stop if term["bare"] else term.end())
             if not more:
                 break

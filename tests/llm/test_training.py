@@ -248,7 +248,7 @@ def test_secret_literals_of_any_length(spark):
         assert [text[a:b] for a, b in secrets.lexed_spans(text)] == [long]
         (row,) = secrets.redact(docs_of(spark, [(1, text)])).collect()
         assert row.text == text.replace(long, "[SECRET]")
-    for text in ("auth=a1B&" * 20_000, '="' * 100_000, "a" * 200_000 + " = x", " " * 200_000 + "= x", 'auth = "' + "\\x" * 100_000, "a=b:" * 30_000 + "+" + "c" * 100_000):
+    for text in ("auth=a1B&" * 20_000, '="' * 100_000, "a" * 200_000 + " = x", " " * 200_000 + "= x", 'auth = "' + "\\x" * 100_000, "a=b:" * 30_000 + "+" + "c" * 100_000, "a=b+" * 50_000, "x=a+b+c+" * 30_000, "auth=$x+" * 30_000, "a=" * 30_000 + "b+" * 30_000):
         secrets.lexed_spans(text)  # linear, or this would not end
 
 
