@@ -1,14 +1,16 @@
 """MinHash near-duplicates (operator 3).
 
-1. A pass over the texts makes, per document, the number of its distinct word shingles, a digest of the set
-   and the minima of many universal hashes. Documents with equal sets are one node (smallest id).
-2. Bands of minima give buckets. Every member of a bucket is compared with the bucket's pivot, never with all
-   others; signatures that are too far apart are dropped first, and full shingle sets confirm what is left.
+1. A pass over the texts makes, per document, the number of its distinct word shingles, a digest of the set, the
+   minima of many universal hashes, kept as one byte each, and a key for each band of minima. Documents with equal
+   sets are one node (smallest id).
+2. Bands give buckets. Every member of a bucket is compared with the bucket's pivot, never with all others: the
+   member that shares buckets with most others, which is the original of a group of near copies where that is
+   present. Signatures that are too far apart are dropped first, and full shingle sets confirm what is left.
 3. Connected components by alternating large-star and small-star. In buckets that still hold several
-   components, members outside the pivot's component meet the bucket's most central members, and what then is
-   still apart is joined exactly: in one order of all shingles, rarest first, two linked sets share one among
-   their first (1 - threshold) of shingles, at places that leave enough behind them for the overlap. No link
-   between candidates is lost, and common shingles of a large group make no pairs.
+   components, members outside the pivot's are joined exactly with all members of such buckets: in one order of
+   their shingles, rarest first, two linked sets share one among their first (1 - threshold) of shingles, at places
+   that leave enough behind them for the overlap. No link between candidates is lost, and common shingles of a
+   large group make no pairs.
 4. Components go back to all documents through the digest.
 
 The chance that a pair at the threshold shares no band is at most MISS.
@@ -38,8 +40,6 @@ MISS = 1e-6
 HASHES = 200
 #: Standard deviations below the threshold at which a signature rules a pair out.
 SIGMAS = 6
-#: Pivots of the second round.
-PIVOTS = 3
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -79,29 +79,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def signatures(docs: DataFrame, width: int, hashes: int) -> DataFrame:
-    """id, n_shingles, digest (null for empty sets), sig (the minima as bytes)."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
+    """id, n_shingles, digest, keys (one a band), sig (a byte of each minimum); the last three null for empty sets."""
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    hashes = rows * bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = universal(hashes)
+        factor = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
+        band = np.arange(bands, dtype=np.uint64) << np.uint64(40)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for lo, hi in chunks(offsets):
                 sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                minima = np.zeros((len(sets), hashes), np.uint32)
+                minima = np.zeros((len(full), hashes), np.uint32)
                 if len(full):
                     x = (np.concatenate([sets[i] for i in full]) >> np.uint64(32)).astype(np.uint32)
                     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                     for k in range(hashes):
-                        minima[full, k] = np.minimum.reduceat(x * a[k] + b[k], starts)
+                        minima[:, k] = np.minimum.reduceat(x * a[k] + b[k], starts)
+                keys = mix((minima.reshape(-1, bands, rows).astype(np.uint64) * factor).sum(axis=2, dtype=np.uint64) + band).view(np.int64)
+                ends = np.cumsum(sizes > 0) * bands
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys.ravel()))
+                low, at = minima.astype(np.uint8), iter(range(len(full)))
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                sigs = [m.tobytes() if n else None for m, n in zip(minima, sizes)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+                sigs = [low[next(at)].tobytes() if n else None for n in sizes]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(sizes), pa.array(digests, pa.binary()), lists, pa.array(sigs, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n_shingles long, digest binary, sig binary")
+    return docs.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>, sig binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,77 +118,60 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     rows, bands = banding(percent)
-    hashes = rows * bands
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    kept_files: list[str] = []
-    base = cut(signatures(picked, width, hashes))
-    firsts = cut(base.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node")), kept_files)
-    nodes = base.join(firsts, "digest").where("id = node").select("node", "n_shingles", "sig")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * rows) + 1, F.lit(4 * rows))))
-    exploded = nodes.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode(keys).alias("k"))
-    order = F.xxhash64("node")
-    heads = exploded.groupBy("k").agg(F.count("*").alias("members"), F.min(F.struct(order.alias("o"), "node", "n")).alias("p")).where("members > 1")
-    crowd = cut(exploded.join(heads, "k").select("k", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), kept_files)
-    wanted = crowd.select("node").distinct()
-    signed = cut(nodes.join(wanted, "node").select("node", "sig"), kept_files)
-    texts = picked.join(wanted.withColumnRenamed("node", "id"), "id", "left_semi")
-    sets = cut(_sets(texts, width), kept_files)
+    files: list[str] = []
+    base = cut(signatures(picked, width, rows, bands), files)
+    nodes = base.where("digest is not null and id is not null").groupBy("digest").agg(
+        F.min("id").alias("node"), F.first("n_shingles").cast("int").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")
+    )
+    nodes = cut(nodes, files)  # equal sets have equal keys and signatures
 
     def near(a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return _confirmed(_alike(pairs, signed, hashes, percent), sets, percent)
-
-    tried = cut(crowd.where(near("n", "pn")).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), kept_files)
-    edges = cut(confirm(tried), kept_files)
-    comps = cut(components(edges), kept_files)
-
-    def strays(comps: DataFrame) -> DataFrame:
-        """Members of buckets with several components: comp, and whether they are outside the pivot's."""
-        where = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        home = comps.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
-        where = where.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-        mixed = where.groupBy("k").agg(F.count("*").alias("members"), F.max(F.col("comp") != F.col("home")).alias("apart")).where("apart and members > 2")
-        return cut(where.join(mixed.select("k", "members"), "k").select("k", "node", "n", "pivot", "comp", (F.col("comp") != F.col("home")).alias("stray"), "members"), kept_files)
-
-    left = strays(comps)
+    exploded = nodes.select("node", "n", F.explode("keys").alias("k"))
+    shared = exploded.groupBy("k").agg(F.count("*").alias("members")).where("members > 1")
+    crowd = cut(exploded.join(shared, "k"), files)
+    central = crowd.groupBy("node").agg(F.sum("members").alias("c"))
+    crowd = cut(crowd.join(central, "node"), files)
+    rank = F.struct("c", F.xxhash64("node").alias("o"), "node", "n")
+    pivots = crowd.groupBy("k").agg(F.max(rank).alias("p")).select("k", F.col("p.node").alias("a"), F.col("p.n").alias("pn"))
+    tried = crowd.join(pivots, "k").where("node <> a").where(near("n", "pn")).select("a", F.col("node").alias("b")).distinct()
+    alike = cut(_alike(tried, nodes, rows * bands, percent), files)
+    wanted = cut(alike.select(F.explode(F.array("a", "b")).alias("id")).distinct(), files)
+    sets = cut(_sets(picked.join(wanted, "id", "left_semi"), width), files)
+    comps = components(_confirmed(alike, sets, percent), files)
+
+    # members of buckets with several components: comp, and whether they are outside the pivot's in any of these
+    where = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    home = F.max(F.struct("c", F.xxhash64("node").alias("o"), "node", "comp"))["comp"]
+    mixed = where.groupBy("k").agg(home.alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo <> hi and members > 2")
+    left = where.join(mixed.select("k", "home"), "k").groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("home")).alias("stray"))
+    left = cut(left, files)
     if not left.isEmpty():
-        # outsiders meet the most central members of their buckets first, so that few are left after that
-        ranked = cut(_ranked(sets.join(left.select("node").distinct(), "node", "left_semi")), kept_files)
-        central = ranked.groupBy("node").agg(F.round(F.log(F.avg("f")), 1).alias("c"))
-        tops = [F.max(F.struct("c", F.xxhash64("node", F.lit(i)).alias("o"), "node", "n", "comp")).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = left.join(central, "node").groupBy("k").agg(*tops).select("k", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).distinct()
-        pivots = pivots.select("k", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.comp").alias("ac"))
-        outside = left.where("stray").select("k", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
-        again = outside.join(pivots, "k").where("ac <> bc").where(near("an", "bn"))
-        again = cut(again.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), kept_files)
-        edges2 = cut(confirm(again), kept_files)
-        if not edges2.isEmpty():
-            comps = cut(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges2)), kept_files)
-            left = strays(comps)
-        # the rest exactly: linked sets share one of their rarest shingles, early enough to reach the overlap
-        heads = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(left.select("node", "comp", "stray").distinct(), "node")
+        # linked sets share one of their rarest shingles, early enough to reach the overlap
+        more = _sets(picked.join(left.join(wanted, left["node"] == wanted["id"], "left_anti").select(F.col("node").alias("id")), "id", "left_semi"), width)
+        members = cut(sets.join(left, "node", "left_semi").unionAll(more), files)
+        ranked = _ranked(members).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+        heads = cut(ranked.join(left.select("node", "comp", "stray"), "node"), files)
         outside = heads.where("stray").select("h", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"))
-        others = heads.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac")).distinct()
+        others = heads.select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"), F.col("stray").alias("also"))
         reach = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
-        rest = outside.join(others, "h").where("ac <> bc").where(near("an", "bn")).where(reach)
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = tried.union(again)
-        both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges3 = cut(confirm(rest.join(both, ["a", "b"], "left_anti")), kept_files)
-        if not edges3.isEmpty():
-            comps = cut(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(edges3)), kept_files)
-    of = firsts.join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+        once = ~F.col("also") | (F.col("a") < F.col("b"))
+        rest = outside.join(others, "h").where("ac <> bc").where(once).where(near("an", "bn")).where(reach).select("a", "b").distinct()
+        found = cut(_confirmed(_alike(rest, nodes, rows * bands, percent), members, percent), files)
+        if not found.isEmpty():
+            comps = components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found), files)
+    of = nodes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = base.select("id", "n_shingles", "digest").join(of, "digest", "left")
     out = out.withColumn("component_id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id")))
     out = cut(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")))
-    drop(spark, kept_files)
+    drop(spark, files)
     return out
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """(node, h, f, pos, n): the shingles of every set, from those that the fewest sets hold to the commonest."""
+    """(node, h, pos, n): the shingles of every set, from those that the fewest sets hold to the commonest."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,10 +179,11 @@ def _ranked(sets: DataFrame) -> DataFrame:
                 hashes = np.frombuffer(blob.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), key)), pa.array(hashes), pa.array(np.full(len(hashes), len(hashes)))], names=["node", "h", "n"])
 
-    flat = sets.mapInArrow(spread, "node long, h long, n long").distinct()
+    flat = sets.mapInArrow(spread, "node long, h long, n long")
     often = flat.groupBy("h").agg(F.count("*").alias("f"))
-    order = F.row_number().over(Window.partitionBy("node").orderBy("f", "h"))
-    return flat.join(often, "h").select("node", "h", "f", (order - 1).alias("pos"), "n")
+    # n as well: an id that comes with several texts has several sets
+    order = F.row_number().over(Window.partitionBy("node", "n").orderBy("f", "h"))
+    return flat.join(often, "h").select("node", "h", (order - 1).alias("pos"), "n")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -212,20 +203,20 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _alike(pairs: DataFrame, signed: DataFrame, hashes: int, percent: int) -> DataFrame:
-    """Pairs whose signatures do not rule the threshold out."""
+    """Pairs whose signatures do not rule the threshold out. Bytes of different minima may agree, which only keeps a pair."""
     s = percent / 100
     least = math.floor(hashes * s - SIGMAS * math.sqrt(hashes * s * (1 - s)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, hashes) for c in ("sa", "sb"))
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, hashes) for c in ("sa", "sb"))
                 near = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], schema=_PAIR)
 
     joined = pairs.join(signed.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     joined = joined.join(signed.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
