@@ -12,9 +12,10 @@ document is at least LENGTH bytes long. Suffixes need be in order only among tho
 3. For the runs that are left, the text from the first suffix to the end of the last one is sent to the
    anchor's bucket, once per distinct text and partition batch, with the smallest id; other holders in the batch
    are marked at once. Equal suffixes of LENGTH bytes meet in one bucket, as they have the same anchor.
-4. A bucket sorts its suffixes, ties by document. Within a stretch of common prefixes of at least LENGTH bytes
-   the previous smaller position (a document with a smaller id) of every suffix is the stretch's first entry, and
-   next smaller positions add nothing; suffixes that have one are marked.
+4. A bucket sorts its suffixes and takes the common prefixes of neighbours. The previous and the next smaller
+   position of a suffix (the nearest ones in suffix order that belong to a document with a smaller id), with the least
+   common prefix on the way, give its longest previous factor; suffixes whose factor has LENGTH bytes are marked. A
+   way is left where its common prefix falls below LENGTH, so factors shorter than that count as none.
 5. Marks go back to the documents, whose covered bytes are removed.
 
 A passage in a third of all documents reaches its bucket once per batch, not once per document.
@@ -41,6 +42,8 @@ LENGTH = 50
 ANCHOR = 20
 #: Text handled as one batch in bytes.
 BATCH_BYTES = 8_000_000
+#: Text of a bucket in bytes, on average at most: what a task holds does not grow with the input.
+BUCKET_BYTES = 8_000_000
 #: Parts of a bucket; a task orders the suffixes of one part at a time.
 FINE = 16
 
@@ -220,9 +223,9 @@ def _segments(buckets: int, length: int, k: int):
 
 
 # ---------------------------------------------------------------- step 4: suffix order and previous factors
-def suffix_order(data: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at `at` by their first `length` bytes, ties by owner; and for each place in that order
-    whether its longest common prefix with the one before reaches length."""
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at `at` by their first `length` bytes; and for each place in that order the longest common
+    prefix with the one before, in bytes, at most length (0 for the first)."""
     padded = np.append(data, np.zeros(16, np.uint8)).astype(np.uint64)
     n = len(data)
     words = np.zeros(n + 8, np.uint64)
@@ -232,22 +235,48 @@ def suffix_order(data: np.ndarray, at: np.ndarray, owner: np.ndarray, length: in
     for j in range(0, length, 8):
         column = words[at + j]
         if j + 8 > length:
-            column = column >> np.uint64(8 * (j + 8 - length))
+            column = column >> np.uint64(8 * (j + 8 - length)) << np.uint64(8 * (j + 8 - length))
         columns.append(column)
-    order = np.lexsort((owner, *columns[::-1]))
-    reach = np.ones(len(at), bool)
-    reach[:1] = False
-    for column in columns:
-        sorted_column = column[order]
-        reach[1:] &= sorted_column[1:] == sorted_column[:-1]
-    return order, reach
-
-
-def previous_factors(reach: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Places in suffix order whose previous smaller position (an earlier owner) is within reach. Ties are in
-    order of owner, so that position is the head of the stretch."""
-    heads = np.flatnonzero(~reach)
-    return owner > owner[heads][np.cumsum(~reach) - 1]
+    order = np.lexsort(columns[::-1])
+    prefix = np.full(len(at), length, np.int64)
+    prefix[:1] = 0
+    alive = np.arange(1, len(at))  # places whose words were equal so far
+    for j, column in enumerate(columns):
+        apart = column[order[alive]] ^ column[order[alive - 1]]
+        ends = np.flatnonzero(apart)
+        same = np.zeros(len(ends), np.int64)
+        for k in range(1, 8):
+            same += apart[ends] >> np.uint64(64 - 8 * k) == 0
+        prefix[alive[ends]] = 8 * j + same
+        alive = alive[apart == 0]
+    return order, prefix
+
+
+def smaller_positions(prefix: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray:
+    """For each place the common prefix with its previous smaller position, 0 where that is below least. All places
+    jump at once: a place whose pointer is no smaller one takes over that one's pointer."""
+    n = len(owner)
+    to, common = np.arange(-1, n - 1), prefix.copy()
+    open_ = np.flatnonzero(common >= least)
+    common[common < least] = 0
+    while len(open_):
+        j = to[open_]
+        on = open_[owner[j] >= owner[open_]]
+        j = to[on]
+        step = np.minimum(common[on], common[j])
+        further = to[j]
+        common[on], to[on] = step, further
+        open_ = on[step >= least]
+        common[on[step < least]] = 0
+    return common
+
+
+def longest_previous_factors(prefix: np.ndarray, owner: np.ndarray, least: int) -> np.ndarray:
+    """For each place in suffix order the longest factor that it shares with an earlier owner, 0 if below least."""
+    before = smaller_positions(prefix, owner, least)
+    back = np.append(0, prefix[:0:-1])  # the same order read from its end
+    after = smaller_positions(back, owner[::-1], least)[::-1]
+    return np.maximum(before, after)
 
 
 def _factors(length: int):
@@ -281,9 +310,9 @@ def _marked(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.nda
     number = sizes + 1  # suffixes of each segment
     segment = np.repeat(np.arange(len(ids)), number)
     step = np.arange(len(segment)) - np.repeat(np.cumsum(number) - number, number)
-    order, reach = suffix_order(data, begin[segment] + step, ids[segment], length)
+    order, prefix = suffix_order(data, begin[segment] + step, length)
     marked = np.zeros(len(segment), bool)
-    marked[order] = previous_factors(reach, ids[segment][order])
+    marked[order] = longest_previous_factors(prefix, ids[segment][order], length) >= length
     at = np.flatnonzero(marked)
     if not len(at):
         return []
@@ -314,7 +343,8 @@ def covered(size: int, blobs: list[bytes], whole: bool, length: int) -> list[tup
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """docs' ids and texts with what to remove: id, text, blobs (marked suffix ranges), whole (a later exact copy)."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = every.where("id is not null")  # joins ask for that; asked here, all uses of the dealt texts are one exchange
     digests = base.select("id", F.sha2("text", 256).alias("digest"))

@@ -340,6 +340,7 @@ def brute_top(rows, queries, k):
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(cover_tree, "DATA_BLOCK", 150)
     monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(cover_tree, "CELL_ROWS", 100)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + rng.normal(scale=0.05, size=8)).tolist()) for i in range(700)]
@@ -351,6 +352,32 @@ def test_top_k(spark, monkeypatch):
     assert cover_tree.top_k(df.limit(0), df).count() == 0
 
 
+def test_dual_tree_prunes_inner_pairs():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6)) * 2000
+    data = np.unique(np.round(centres[rng.integers(0, 12, 3000)] + rng.normal(scale=20, size=(3000, 6))).astype(np.int64), axis=0)
+    queries = np.round(centres[rng.integers(0, 12, 400)] + rng.normal(scale=20, size=(400, 6))).astype(np.int64)
+    seen = {}
+    ids = [np.array([i]) for i in range(len(data))]
+    got = cover_tree.search(data, ids, queries, np.full(400, -1), 5, seen=seen)
+    exact = queries @ data.T
+    assert [[-s for s, _ in row] for row in got] == np.sort(exact, axis=1)[:, :-6:-1].tolist()
+
+    def leaves(node):
+        return sum(map(leaves, node.children)) or 1
+
+    every = leaves(cover_tree.cover_tree(queries.astype(float), leaf=cover_tree.GROUP)) * leaves(cover_tree.cover_tree(data.astype(float)))
+    assert seen["inner"] > 0 and seen["scored"] < every / 3
+
+
+def test_top_k_of_large_numbers():
+    rng = np.random.default_rng(3)
+    data = rng.integers(-(1 << 29), 1 << 29, (200, 4))
+    got = cover_tree.search(data, [np.array([i]) for i in range(200)], data[:20], np.arange(20), 3)
+    want = [sorted((-int(sum(int(a) * int(b) for a, b in zip(data[q], data[i]))), i) for i in range(200) if i != q)[:3] for q in range(20)]
+    assert got == want
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(0).normal(size=(500, 4))
     root = cover_tree.cover_tree(x, leaf=16)
@@ -388,6 +415,49 @@ def test_main_text_after_unclosed_elements():
     assert html_text.main_text(inside) == f"{long} Then x=2 holds."
 
 
+STORY = "Some plain words of a story that goes on for a good while without any links in it at all, as stories do. " * 3
+MENU = "<div><a href=/>Home</a></div><div><a href=/a>About us</a></div>"
+WHOLE = f"Title here {STORY.strip()}"
+LAYOUTS = [  # (page, main text)
+    *[(f"<nav><a href=/>Home</a></nav><div class='{c}'><article><h1>Title here</h1><p>{STORY}</p></article></div>", WHOLE) for c in ("post no-sidebar", "layout-sidebar-right has-sidebar", "entry related", "post-header", "with-menu")],
+    *[(f"{MENU}<div class='{c}'><p>{STORY}</p></div>{MENU}", STORY.strip()) for c in ("post no-sidebar", "layout-sidebar-right has-sidebar", "entry related", "hentry", "column")],
+    *[(f"<article><h1>Title here</h1><p>{STORY}</p></article><div class='{c}'><div><p>{STORY}</p></div></div>", WHOLE) for c in ("sidebar", "related-posts", "post-comments", "comment-list", "site-footer", "cookie-notice", "share buttons", "ad", "widget content")],
+    (f"<main class='has-sidebar'><h1>Title here</h1><p>{STORY}</p></main>", WHOLE),
+    (f"<form action=x><div><article><h1>Title here</h1><p>{STORY}</p></article></div><input type=hidden></form>", WHOLE),
+    (f"<form action=x><div><h1>Title here</h1><p>{STORY}</p></div><label>Your name</label><input></form>", WHOLE),
+    (f"<article><div class='post-header'><h1>Title here</h1></div><p>{STORY}</p></article>", WHOLE),
+    (f"<div class='post-header'><h1>Title here</h1></div><p>{STORY}</p>{MENU}", WHOLE),
+    (f"<article><header><h1>Title here</h1></header><p>{STORY}</p><form><p>Join our list</p><input></form></article>", WHOLE),
+    (f"<article><h1>Title here</h1><p>{STORY}</p><article class='comment'><p>{STORY}</p></article></article>", WHOLE),
+    ("<p>Short page.</p>", "Short page."),
+    ("<html><body><h1>Hi</h1><p>Short page.</p></body></html>", "Hi Short page."),
+    (f"{MENU}<div>By a writer</div>{MENU}<div><p>{STORY}</p></div>", STORY.strip()),
+    (f"{MENU}<div><h2>Title here</h2></div><div><p>{STORY}</p><p>The end.</p></div>", f"{WHOLE} The end."),
+    (f"<div><p>{STORY}</p><p><a href=/x>A linked line</a></p><p>{STORY}</p></div>", f"{STORY}A linked line {STORY}".strip()),
+    (f"<div><p>{STORY}</p></div><div><a href=/x>A linked line</a></div>{MENU}", STORY.strip()),
+]
+
+
+@pytest.mark.parametrize("page, want", LAYOUTS)
+def test_main_text_of_layouts(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_neighbours_decide():
+    used, todo = set(), [html_text.tree()]
+    while todo:
+        node = todo.pop()
+        if node.feature >= 0:
+            used.add(html_text.FEATURES[node.feature])
+            todo += [node.low, node.high]
+    assert {"words", "links", "words_before", "links_before", "words_after", "links_after"} <= used
+
+
+def test_end_tags_cost_no_scan():
+    for page in ("<div>" * 50_000 + "</section>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000 + "<p>" * 50_000, "<ul><li>" * 50_000 + "</b>" * 50_000):
+        assert html_text.main_text(page + STORY) == STORY.strip()
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (1, None, None, 3), (None, "v", "<p", 3)], "page_id long, url string, html string, n_chars int")
     got = html_text.extract(pages).collect()
@@ -435,28 +505,56 @@ def test_toxicity_compares_all_words(spark, prose):
     copy = next(r for r in toxicity.score_toxicity(docs, index).collect() if r.doc_id == 6000)
     assert copy.evidence[0] == plain and copy.predicted == 1 and copy.found == []
     assert set(ids) == set(index.ids.tolist())
-    assert index.idf[index.terms["labelled"]] == np.log(1 + len(rows + extra) / 52)  # of all documents
+    import pyarrow as pa
 
+    (word,) = next(toxicity.words_of(pa.array(["Labelled"]))).hashes
+    assert index.idf[index.vocabulary.index(word, 1)] == np.log(1 + len(rows + extra) / 52)  # of all documents
 
-def test_block_max_is_exact():
-    rng = np.random.default_rng(4)
-    rows = [(i, int(i % 3 == 0), {int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 8), replace=False)}) for i in range(500)]
-    idf = rng.uniform(0.5, 3, 30)
-    index = toxicity.Index.build([f"t{i}" for i in range(30)], idf, rows, {0: 1.0, 1: 1.0}, 0.1)
-
-    def vec(tf):
-        v = np.zeros(30)
-        for t, n in tf.items():
-            v[t] = (1 + np.log(n)) * idf[t]
-        return v / np.sqrt((v * v).sum())
 
-    matrix = np.stack([vec(r[2]) for r in rows])
-    for i in range(0, 500, 7):
-        q = rows[i][2]
-        keys = sorted(q)
-        got = index.nearest(tuple(keys), tuple(q[k] for k in keys), 15)
-        exact = np.sort(matrix @ vec(q))[::-1][:15]
-        assert np.allclose([s for s, _ in got], exact[exact > 0], atol=1e-9)
+@pytest.mark.parametrize("groups", [1, 6])
+def test_block_max_is_exact(groups):
+    rng = np.random.default_rng(4)
+    n, v, k = 1500, 200, 15
+    owner, term, tf = [], [], []
+    for i in range(n):  # of one kind, or of groups that share no terms, so that blocks are passed over
+        pick = np.sort(rng.choice(v // groups, rng.integers(1, 20), replace=False)) + (i % groups) * (v // groups)
+        owner += [i] * len(pick)
+        term += pick.tolist()
+        tf += rng.integers(1, 4, len(pick)).tolist()
+    owner, term, tf = (np.array(x) for x in (owner, term, tf))
+    idf = rng.uniform(0.5, 3, v)
+    bases = np.arange(v, dtype=np.uint64)
+    vocabulary = toxicity.Vocabulary(bases, np.full((v, 3), -1), v, bases[:0], toxicity.Vocabulary.table(bases))
+    index = toxicity.Index.build(vocabulary, idf, {}, 0.1, np.arange(n) * 10, np.arange(n) % 2, np.ones(n), owner, term, tf)
+    matrix = np.zeros((n, v))
+    matrix[owner, term] = (1 + np.log(tf)) * idf[term]
+    matrix /= np.sqrt((matrix**2).sum(1))[:, None]
+    asked = owner < 100
+    row, s, near = index.nearest(owner[asked], term[asked], tf[asked], 101, k)
+    assert 100 not in row  # a text without terms
+    scores = matrix @ matrix[:100].T
+    for i in range(100):
+        best = sorted(((-x, j * 10) for j, x in enumerate(scores[:, i]) if x > 0))[:k]
+        got = row == i
+        assert np.allclose(s[got], [-x for x, _ in best], atol=1e-5)
+        assert {int(j) for x, j in zip(s[got], index.ids[near[got]]) if x > s[got].min() + 1e-5} <= {j for _, j in best}
+
+
+def test_toxicity_scores_are_calibrated(spark, prose):
+    """Texts with a mark are toxic in 80 of 100 cases, others in 5: scores of held-out texts follow these rates."""
+    rng, _, make = prose
+    rows, labels = [], []
+    for i in range(3000):
+        mark = rng.random() < 0.3
+        rows.append((i, make(25) + (" zzvile" if mark else "")))
+        labels.append((i, int(rng.random() < (0.8 if mark else 0.05)), 1))
+    docs = docs_of(spark, rows)
+    index = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    truth = {i: y for i, y, _ in labels}
+    held = [(r.score, truth[r.doc_id]) for r in toxicity.score_toxicity(docs, index).collect() if r.held_out]
+    for lo, hi in ((0, 0.25), (0.5, 1.01)):
+        inside = [(s, y) for s, y in held if lo <= s < hi]
+        assert len(inside) > 100 and abs(np.mean([s for s, _ in inside]) - np.mean([y for _, y in inside])) < 0.1
 
 
 # ---------------------------------------------------------------- 9
@@ -500,14 +598,26 @@ def test_repeats_against_all_windows(spark, prose):
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
 
 
-def test_suffix_order():
-    data = np.frombuffer(b"banana_bandana" * 3, np.uint8)
-    at = np.arange(len(data) - 10 + 1)
-    owner = at % 3
-    order, reach = repeats.suffix_order(data, at, owner, 10)
-    text = data.tobytes()
-    assert [(text[a : a + 10], o) for a, o in zip(at[order], owner[order])] == sorted((text[a : a + 10], o) for a, o in zip(at, owner))
-    assert list(reach[1:]) == [text[a : a + 10] == text[b : b + 10] for a, b in zip(at[order], at[order][1:])]
+def test_longest_previous_factors():
+    rng = random.Random(9)
+    for length in (10, 8, 3):
+        text = "".join(rng.choice("ab") for _ in range(150)).encode() + b"banana_bandana" * 4
+        data = np.frombuffer(text, np.uint8)
+        at = np.arange(len(data) - length + 1)
+        owner = np.array([rng.randrange(6) for _ in at])
+        order, prefix = repeats.suffix_order(data, at, length)
+        heads = [text[a : a + length] for a in at]
+        assert [heads[i] for i in order] == sorted(heads)
+
+        def common(x, y):
+            return next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), length)
+
+        assert prefix[0] == 0 and prefix[1:].tolist() == [common(heads[i], heads[j]) for i, j in zip(order, order[1:])]
+        for least in (1, length):
+            got = np.empty(len(at), int)
+            got[order] = repeats.longest_previous_factors(prefix, owner[order], least)
+            want = [max((common(heads[i], heads[j]) for j in at if owner[j] < owner[i]), default=0) for i in at]
+            assert got.tolist() == [w if w >= least else 0 for w in want]
 
 
 # ---------------------------------------------------------------- pipeline
