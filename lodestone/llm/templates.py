@@ -1,7 +1,7 @@
 """Benchmark decontamination (operator 4): template windows with typed slots.
 
-Texts become tokens: runs of letters in lower case, with typed placeholders for numbers, for units after numbers
-and for names (capitalised words that do not begin a sentence). Windows of WINDOW tokens are hashed over the
+Texts become tokens: runs of letters (of any script, with their marks) in lower case, each ideograph or kana by itself, with typed
+placeholders for numbers, for units after numbers and for names (capitalised words that do not begin a sentence). Windows of WINDOW tokens are hashed over the
 placeholders, so that a question with other numbers, units or names keeps its windows. Windows of documents
 meet windows of benchmark items in a hash join. Matches on one diagonal (position in the document less position
 in the item) must map each slot value of the item to one value of the document; diagonals that do not are no
@@ -11,7 +11,7 @@ windows of that sort, or if RUN consecutive words stand in both. The counts and
 those of windows with slots where these link, else those of verbatim windows.
 
 The benchmark's distinct window hashes filter the documents' windows before the join while they are at most
-FILTER_WINDOWS (8 bytes each, broadcast); beyond that all windows are joined in a shuffle.
+FILTER_WINDOWS (8 bytes each, broadcast); beyond that all windows are joined in a shuffle. The rows are the same.
 
 Defined cases: null or empty texts have no windows; items shorter than a window are one window of their own
 length; windows with fewer than LITERALS ordinary words (or all of them, if the item has fewer) are used verbatim
@@ -21,6 +21,8 @@ ids are one document or item; repeated rows change nothing; other columns are ig
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, mix, prefix_hash, utf8
+from lodestone.llm.common import chunks, mix, powers
 
 #: Tokens of a window, ordinary words it needs, share of an item's windows that links a document.
 WINDOW = 8
@@ -46,64 +48,90 @@ UNITS = (
     "c f k degree degrees percent pct usd eur gbp dollar dollars euro euros cent cents b kb mb gb tb mph kmh kph rpm"
 ).split()
 
-_LETTER, _DIGIT, _UPPER, _STOP = (np.zeros(256, bool) for _ in range(4))
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_DIGIT[48:58] = True
-_UPPER[65:91] = True
-_STOP[[ord(c) for c in ".!?:;\n"]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: What a code point is: part of a word, digit, a word by itself (ideographs, kana); and whether it is a capital or ends a sentence.
+LETTER, DIGIT, ALONE, UPPER, STOP = 1, 2, 3, 8, 16
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (1, 2, 3))
 
 
-def _word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    s, down = prefix_hash(_LOWER[data])
+@functools.lru_cache(1)
+def classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class bits and lower-case form of every code point."""
+    bits, lower = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for code in range(0x110000):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] in "LM":
+            bits[code] = LETTER | (UPPER if kind in ("Lu", "Lt") else 0)
+            low = c.lower()
+            if len(low) == 1:
+                lower[code] = ord(low)
+        elif kind == "Nd":
+            bits[code] = DIGIT
+    for lo, hi in ((0x3041, 0x3100), (0x3400, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000)):
+        bits[lo:hi] = np.where(bits[lo:hi] & 3 == LETTER, ALONE, bits[lo:hi])
+    bits[[ord(c) for c in ".!?:;\n\u2026\u3002\uff01\uff1f"]] |= STOP
+    return bits, lower
+
+
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A text column as one array of code points and n + 1 offsets; null counts as empty."""
+    texts = [x or "" for x in column.to_pylist()]
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+
+def _word_hash(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, from code points in lower case."""
+    up, down = powers(len(low) + 1)
+    s = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum(mix(low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=s[1:])
     return mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(np.uint64)) | np.uint64(8)
 
 
+@functools.lru_cache(1)
 def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(" ".join(UNITS).encode(), np.uint8)
+    data, _ = code_points(pa.array([" ".join(UNITS)]))
     ends = np.cumsum([len(u) + 1 for u in UNITS]) - 1
     return np.sort(_word_hash(data, ends - np.array([len(u) for u in UNITS]), ends))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Starts, ends and codes of the tokens of texts, n + 1 offsets of the texts' tokens, and hashes of the tokens in
-    ASCII lower case. A code is 1, 2 or 3 for a number, unit or name, else that hash."""
+    """Starts, ends and codes of the tokens of texts (code points), n + 1 offsets of the texts' tokens, and hashes of
+    the tokens in lower case. A code is 1, 2 or 3 for a number, unit or name, else that hash."""
     n = len(data)
     empty = np.empty(0, np.int64)
     if not n:
         return empty, empty, np.empty(0, np.uint64), np.zeros(len(offsets), np.int64), np.empty(0, np.uint64)
-    kind = _LETTER[data] + 2 * _DIGIT[data].astype(np.int8)
+    bits, lower = classes()
+    of = bits[data]
+    kind = of & 3
     inner = np.zeros(n, bool)  # a point or comma between digits belongs to the number
     if n > 2:
-        inner[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & (kind[:-2] == 2) & (kind[2:] == 2)
+        inner[1:-1] = ((data[1:-1] == 46) | (data[1:-1] == 44)) & (kind[:-2] == DIGIT) & (kind[2:] == DIGIT)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     inner[1:] &= ~edge[1:n]
     inner[:-1] &= ~edge[1:n]
-    kind[inner] = 2
+    kind[inner] = DIGIT
     change = np.ones(n, bool)
-    change[1:] = (kind[1:] != kind[:-1]) | edge[1:n]
+    change[1:] = (kind[1:] != kind[:-1]) | edge[1:n] | (kind[1:] == ALONE)
     begin = np.flatnonzero(change)
     stop = np.append(begin[1:], n)
     solid = kind[begin] > 0
     starts, ends = begin[solid], stop[solid]
     at = np.searchsorted(starts, offsets)
-    plain = _word_hash(data, starts, ends)
+    plain = _word_hash(lower[data], starts, ends)
     code = plain.copy()
-    number = kind[starts] == 2
+    number = kind[starts] == DIGIT
     code[number] = _NUMBER
     if len(starts) > 1:
         first = np.zeros(len(starts) + 1, bool)
         first[at] = True
         follows = ~first[1 : len(starts)]
-        units = _unit_hashes()
         unit = np.zeros(len(starts), bool)
-        unit[1:] = follows & number[:-1] & ~number[1:] & np.isin(code[1:], units)
-        stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+        unit[1:] = follows & number[:-1] & ~number[1:] & np.isin(code[1:], _unit_hashes())
+        stops = np.concatenate([[0], np.cumsum((of & STOP > 0) & ~inner)])
         name = np.zeros(len(starts), bool)
-        name[1:] = follows & _UPPER[data[starts[1:]]] & (stops[starts[1:]] == stops[ends[:-1]])
+        name[1:] = follows & (of[starts[1:]] & UPPER > 0) & (stops[starts[1:]] == stops[ends[:-1]])
         code[name & ~number] = _NAME
         code[unit] = _UNIT
     return starts, ends, code, at, plain
@@ -145,7 +173,7 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int]
             sieve[(keep & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            data, offsets = utf8(batch.column("text"))
+            data, offsets = code_points(batch.column("text"))
             for lo, hi in chunks(offsets):
                 part = data[offsets[lo] : offsets[hi]]
                 starts, ends, code, at, plain = tokens(part, offsets[lo : hi + 1] - offsets[lo])
@@ -167,7 +195,7 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int]
                             continue
                         slots = [None] * len(first)
                         if not verbatim:
-                            slots = [[bytes(part[starts[i] : ends[i]]).decode(errors="replace").lower() for i in range(f, f + width) if code[i] <= _NAME] for f in first.tolist()]
+                            slots = [[part[starts[i] : ends[i]].tobytes().decode("utf-32-le", "replace").lower() for i in range(f, f + width) if code[i] <= _NAME] for f in first.tolist()]
                         yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text]), pa.array(hashed.view(np.int64)), pa.array(first - at[text]), pa.array(slots, pa.list_(pa.string()))], schema=_ROWS)
 
     picked = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -180,8 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     typed, verbatim = F.col("islots").isNotNull(), F.col("islots").isNull()
     sizes = items.groupBy("item_id").agg(F.countDistinct(F.when(typed, F.col("hash"))).alias("all_typed"), F.countDistinct(F.when(verbatim, F.col("hash"))).alias("all_verbatim"))
     distinct = items.select("hash").distinct()
-    known = distinct.limit(FILTER_WINDOWS + 1).collect()
-    wanted = np.sort(np.array([r["hash"] for r in known], np.int64).view(np.uint64)) if len(known) <= FILTER_WINDOWS else None
+    known = distinct.limit(FILTER_WINDOWS + 1).toArrow().column("hash").to_numpy()  # 8 bytes each
+    wanted = np.sort(known.view(np.uint64)) if len(known) <= FILTER_WINDOWS else None
     if wanted is not None and not len(wanted):
         wanted = np.zeros(1, np.uint64)
     rows = benchmark.where(F.col("item_id").isNotNull()).select(F.col("text").cast("string").alias("text"))
@@ -214,6 +242,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column("text"))
+        data, offsets = code_points(batch.column("text"))
         sizes = np.diff(tokens(data, offsets)[3])
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(sizes[sizes > 0], WINDOW)).astype(np.int32))], names=["w"])
