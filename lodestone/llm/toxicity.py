@@ -275,7 +275,7 @@ class Index:
         term, q, owner = term[~thick], q[~thick], owner[~thick]
         pairs, which = _ranges(self.first[term], self.first[term + 1])
         w, spot = q.astype(np.float32)[which], (owner * blocks).astype(np.int32)[which] + self.block[pairs]
-        bound = np.bincount(spot, w * self.most[pairs], n * blocks).reshape(n, blocks)
+        bound = np.bincount(spot, w * self.most[pairs], n * blocks).reshape(n, blocks).astype(float)  # of whole numbers if empty
         bound += np.maximum.reduceat(score, np.arange(0, size, BLOCK), axis=1)
 
         def add(wanted: np.ndarray) -> None:
