@@ -18,9 +18,12 @@ CHUNK_BYTES = 1 << 20
 
 # ---------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one in local mode (as
+    in tests); executors on other machines would not see that, so elsewhere it is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
