@@ -5,7 +5,8 @@ documents that the stage before kept. All but the last return the columns of doc
 
 1. toxicity: documents that score 0.5 or more go.
 2. near_dedup: of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with
-   the smallest id stays. Documents without an id are in no group and stay.
+   the smallest id stays. Documents without an id are in no group and stay; rows that share an id and differ in text
+   are documents of their own.
 3. decontamination: documents that hold a benchmark item, re-parameterised ones included, go.
 4. secrets: found spans are replaced by a mark; no document goes, n_chars follows the text.
 5. packing: what is left becomes pieces in sequences of 2048 tokens.
@@ -15,8 +16,10 @@ run() writes every stage to the shared folder and reads it back, so a lost execu
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut
@@ -28,30 +31,54 @@ from lodestone.llm.toxicity import fit, keep_civil
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. Each row by itself: null texts, repeated or null ids, further columns and
+    empty tables change nothing about the others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_civil(docs, fit(docs, labels, folds_left_out=False))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, width=5, percent=80)
-    kept = docs.join(found.where("kept and doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        # rows with equal ids are one document
-        kept = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near-duplicates the document with the smallest id stays. Null, empty and wordless texts are in
+    no group and stay, as do rows without an id; of rows that share id and text one stays; rows that share an id
+    and differ in text are documents of their own."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(digest).alias("a"), F.max(digest).alias("b")).where("n > 1")
+    twice = cut(several.select("doc_id", (F.col("a") != F.col("b")).alias("differ")))
+    if twice.where("differ").isEmpty():
+        found = near_duplicates(docs, width=5, percent=80)
+        left = docs.join(cut(found.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+        if twice.isEmpty():
+            return left
+        once, more = left.join(twice, "doc_id", "left_anti"), left.join(twice, "doc_id", "left_semi")
+    else:  # documents are told apart by id and text
+        key = f"key_{uuid.uuid4().hex}"
+        keyed = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
+        found = near_duplicates(keyed.select(F.col(key).alias("id"), "text"), width=5, percent=80, id_col="id").where("id is not null").select("id", "component_id").distinct()
+        ids = cut(keyed.where("doc_id is not null").select(F.col(key).alias("id"), "doc_id").distinct().join(found, "id"))
+        least = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "id")).alias("least"))
+        gone = ids.join(least, "component_id").where("id <> least.id").select(F.col("id").alias(key))
+        left = keyed.join(cut(gone), key, "left_anti").select(*docs.columns)
+        once, more = left.join(twice, "doc_id", "left_anti"), left.join(twice, "doc_id", "left_semi")
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(linked, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go, whatever their id is, null included: they are known by a hash of their
+    text. Null and empty texts, and empty tables, lose nothing."""
+    key = f"key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    linked = contaminated(keyed.select(F.col(key).alias("id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="id")
+    return keyed.join(cut(linked.select(F.col("id").alias(key)).distinct()), key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Found spans are replaced by a mark; no row goes. Null texts stay null; n_chars follows the text where there is one."""
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; a null text is an empty one, each row is a document."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
