@@ -203,11 +203,98 @@ def test_decontamination_verbatim(spark, prose):
     assert not any(r.reparameterised for r in got.values()) and got[6, 2].coverage == 1 and got[3, 2].n_windows == 6
 
 
-def test_template_filter_is_only_a_filter(spark, monkeypatch):
-    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
-    docs = docs_of(spark, [(1, "zero one two three four five six seven eight nine ten"), (2, "other words")])
+def test_template_filter_is_only_a_filter(spark, monkeypatch, prose):
+    rng, _, make = prose
+    texts = [f"{make(12)} at {rng.randint(1, 99)} km from Rome {make(12)}" for _ in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(i, f"{make(20)} {rng.choice(texts).replace('Rome', rng.choice(['Rome', 'Oslo']))[rng.randint(0, 60):]} {make(20)}") for i in range(80)]
+    docs = docs_of(spark, rows)
+    few = sorted(map(tuple, templates.contaminated(docs, items).collect()))
     monkeypatch.setattr(templates, "FILTER_WINDOWS", 1)
-    assert [r.doc_id for r in templates.contaminated(docs, items).collect()] == [1]
+    assert few and sorted(map(tuple, templates.contaminated(docs, items).collect())) == few
+
+
+def brute_templates(docs, items):
+    """Links by the definition, window by window, for texts of plain words, numbers and names."""
+
+    def tokens(text):
+        out = []
+        for m in re.finditer(r"[^\W\d_]+|\d+", text):
+            word, gap = m[0], text[out[-1][2] : m.start()] if out else None
+            if word.isdigit():
+                code = 1
+            elif out and out[-1][0] == 1 and word.lower() in templates.UNITS:
+                code = 2
+            elif out and word[0].isupper() and not set(gap) & set(".!?:;\n"):
+                code = 3
+            else:
+                code = word.lower()
+            out.append((code, word.lower(), m.end()))
+        return out
+
+    def windows(toks, width):
+        for i in range(len(toks) - width + 1):
+            part = toks[i : i + width]
+            if sum(isinstance(c, str) for c, _, _ in part) >= min(templates.LITERALS, width):
+                yield i, "typed", tuple(c for c, _, _ in part), [(j, w) for j, (c, w, _) in enumerate(part) if not isinstance(c, str)]
+            yield i, "verbatim", tuple(w for _, w, _ in part), []
+
+    links = set()
+    for item, text in items:
+        own = tokens(text)
+        width = min(len(own), templates.WINDOW)
+        if not width:
+            continue
+        mine = list(windows(own, width))
+        whole = {k: {h for _, kind, h, _ in mine if kind == k} for k in ("typed", "verbatim")}
+        for doc, body in docs:
+            lines = {}
+            for i, kind, h, slots in windows(tokens(body), width):
+                for j, kind2, h2, slots2 in mine:
+                    if (kind, h) == (kind2, h2):
+                        lines.setdefault(i - j, []).append((kind, h, j, [(a, b) for (_, a), (_, b) in zip(slots2, slots)]))
+            got, long = {"typed": set(), "verbatim": set()}, False
+            for found in lines.values():
+                pairs = {p for _, _, _, ps in found for p in ps}
+                if len({a for a, _ in pairs}) != len(pairs):
+                    continue
+                at = {j for kind, _, j, _ in found if kind == "verbatim"}
+                run = templates.RUN - templates.WINDOW + 1
+                long |= any(all(j + x in at for x in range(run)) for j in at)
+                for kind, h, _, _ in found:
+                    got[kind].add(h)
+            if long or any(got[k] and len(got[k]) >= templates.COVER * len(whole[k]) for k in got):
+                links.add((doc, item))
+    return links
+
+
+def test_decontamination_against_all_windows(spark, prose):
+    rng, _, make = prose
+    names = ["Rome", "Oslo", "Österreich", "Ägypten", "Élise", "Паша"]
+
+    def question():
+        return " ".join(make(3) + " " + rng.choice([rng.choice(names), str(rng.randint(1, 9)), f"{rng.randint(1, 9)} km", make(1), "straße"]) for _ in range(rng.randint(1, 8)))
+
+    items = [(i, question()) for i in range(15)] + [(90, "短い質問です"), (91, "“Quoted words” stand here")]
+    docs = []
+    for i in range(120):
+        text = rng.choice(items)[1]
+        for a in names:
+            if rng.random() < 0.4:
+                text = text.replace(a, rng.choice(names))
+        if rng.random() < 0.4:
+            text = re.sub(r"\d", lambda m: str(rng.randint(1, 9)), text)
+        words = text.split()
+        if rng.random() < 0.5:
+            words = words[rng.randrange(len(words)) :]
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = make(1)
+        docs.append((i, f"{make(rng.randint(0, 9))} {' '.join(words)} {make(rng.randint(0, 9))}"))
+    docs += [(200, "quoted words stand here"), (201, "Das 短い質問です ja")]
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    plain = [(i, t) for i, t in items if i != 90]
+    assert {x for x in got if x[1] != 90} == brute_templates(docs, plain)
+    assert (201, 90) in got and (200, 91) in got
 
 
 # ---------------------------------------------------------------- 5
@@ -650,6 +737,36 @@ def test_pipeline(spark, tmp_path, prose):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(left)
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, prose):
+    import corpus_pipeline
+
+    _, _, make = prose
+    item, one, other, long = make(30), make(40), make(40), make(20_000)
+    columns = "doc_id long, text string, lang string, n_chars long, _row int, id string, component_id int, k int, hash long"
+    rows = [
+        (1, one), (2, one), (3, one), (3, other), (3, other), (None, one), (None, None), (5, None), (6, ""), (7, long), (8, long + " tail"),
+        (None, f"{make(5)} {item} {make(5)}"), (9, item), (10, f"api_key = 'Zq9x{'8aB' * 9}'"),
+    ]
+    path = f"file://{tmp_path}"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "en", len(t or ""), 1, "x", 2, 3, 4) for i, t in rows], columns)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        left[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert stage(spark, docs.limit(0), path).count() == 0, name
+    key = lambda x: sorted(x, key=str)
+    assert left["toxicity"] == key(rows)
+    gone = [(2, one), (3, one), (8, long + " tail")]
+    assert left["near_dedup"] == key([r for i, r in enumerate(rows) if r not in gone and i != 4])
+    assert left["decontamination"] == key([r for r in rows if item not in (r[1] or "")])
+    assert len(left["secrets"]) == len(rows) and any("[SECRET]" in (t or "") for _, t in left["secrets"])
+    packed = corpus_pipeline.packing(spark, docs, path)
+    assert packed.groupBy("doc_id").count().count() == 10 and corpus_pipeline.packing(spark, docs.limit(0), path).count() == 0
+
+
 # ---------------------------------------------------------------- registration
 def test_registered():
     import __spark_entry__ as entry
