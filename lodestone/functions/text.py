@@ -114,12 +114,13 @@ def stem_terms(terms: DataFrame, column: str = "term") -> DataFrame:
     return vocabulary.withColumn("stem", porter_udf(F.col(column)))
 
 
-# Suffixes of the light stemmers, tried in this order.
-LIGHT_SUFFIXES = "ing ed ly es s er est tion sion ness ment able ible ful less ous ive al".split()
+# Suffixes of the light stemmer, tried in this order.
+LIGHT_SUFFIXES = "ization ational fulness ousness iveness ation eness ment ness ible able ity ing ies ive ion ous ful ism ist ly ed er es al s".split()
 
 
 def light_stem(word: Column, suffixes: list[str] = LIGHT_SUFFIXES, least: int = 3) -> Column:
-    """Cut the first suffix of the list that leaves at least `least` characters."""
+    """The word in lower case without the first suffix of the list that leaves at least `least` characters."""
+    word = F.lower(word)
     out = F.when(F.lit(False), word)
     for s in suffixes:
         out = out.when(word.endswith(s) & (F.length(word) - len(s) >= least), F.substring(word, F.lit(1), F.length(word) - len(s)))

@@ -56,13 +56,18 @@ def field_stats(df: DataFrame, field: str) -> DataFrame:
 # ---------------------------------------------------------------- retrieval metrics
 def retrieval_metrics(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Per query: recall, reciprocal rank of the first hit, and nDCG at k. results: (qid, id, rank); truth: (qid, id)."""
-    judged = results.where(F.col("rank") <= k).join(truth.select("qid", "id", F.lit(1).alias("hit")).distinct(), ["qid", "id"], "left")
-    hit = F.col("hit").isNotNull()
-    gained = judged.groupBy("qid").agg(
+    judged = results.where(F.col("rank") <= k).join(truth.select("qid", "id", F.lit(True).alias("hit")).distinct(), ["qid", "id"], "left")
+    return graded(judged.withColumn("hit", F.col("hit").isNotNull()), truth.groupBy("qid").agg(F.countDistinct("id").alias("relevant")), k)
+
+
+def graded(judged: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """retrieval_metrics() of judged results (qid, rank, hit) and numbers of relevant ids (qid, relevant): where relevance
+    follows from the rows themselves, no table of relevant pairs is needed."""
+    hit = F.col("hit")
+    gained = judged.where(F.col("rank") <= k).groupBy("qid").agg(
         F.sum(hit.cast("int")).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg")
     )
-    size = truth.groupBy("qid").agg(F.countDistinct("id").alias("relevant"))
-    joined = size.join(gained, "qid", "left")
+    joined = relevant.join(gained, "qid", "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return joined.select(
         "qid", rounded(F.coalesce(F.col("hits"), F.lit(0)) / F.col("relevant")).alias("recall"), rounded(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("rr"),

@@ -69,12 +69,12 @@ def condorcet(lists: DataFrame, k: int = 10, weights: dict[str, float] | None =
     In one source, a present id beats those ranked behind it and all absent ones, so wins and losses follow from
     the rank and the list sizes: no pairs of candidates are made.
     """
-    frame = ranked(lists).withColumn("w", _weight(weights)).withColumn("size", F.count("*").over(Window.partitionBy("source")))
-    n = frame.select("id").distinct().agg(F.count("*").alias("n"))
-    total = frame.select("source", "w", "size").distinct().agg(F.sum(F.col("w") * F.col("size")).alias("all"))
-    # present: wins n - rank, losses rank - 1; absent: losses size
-    score = F.sum(F.col("w") * (F.col("n") - F.col("rank") - (F.col("rank") - 1) + F.col("size"))) - F.first("all")
-    return top(frame.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total)).groupBy("id").agg(score.alias("score")), k)
+    sized = ranked(lists).withColumn("w", _weight(weights)).withColumn("size", F.count("*").over(Window.partitionBy("source")))
+    # present: wins n - rank, losses rank - 1; absent: losses size. Lists are short, so windows over all rows do
+    each = sized.groupBy("id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * (1 - 2 * F.col("rank") + F.col("size"))).alias("s"), F.sum(F.when(F.col("rank") == 1, F.col("w") * F.col("size")).otherwise(0.0)).alias("first"))
+    everything = Window.partitionBy(F.lit(0))
+    n, absent = F.count("*").over(everything), F.sum("first").over(everything)
+    return top(each.select("id", (F.col("s") + F.col("w") * n - absent).alias("score")), k)
 
 
 def hybrid(dense: DataFrame, other: DataFrame, k: int = 10, dense_weight: float = 0.5, other_weight: float = 0.5, constant: int = 60, boost: float = 1.1) -> DataFrame:
@@ -86,8 +86,8 @@ def hybrid(dense: DataFrame, other: DataFrame, k: int = 10, dense_weight: float
 def blend_max(hits: DataFrame, late: DataFrame, k: int = 10, hit_weight: float = 0.6, late_weight: float = 0.4) -> DataFrame:
     """Fused score and late-interaction score over its maximum: hit_weight and late_weight parts."""
     joined = hits.select("id", F.col("score").alias("a")).join(late.select("id", F.col("score").alias("b")), "id", "left")
-    peak = joined.agg(F.greatest(F.max("b"), F.lit(1e-6)).alias("peak"))
-    return top(joined.crossJoin(F.broadcast(peak)).withColumn("score", hit_weight * F.col("a") + late_weight * F.coalesce(F.col("b"), F.lit(0.0)) / F.col("peak")), k).select("id", "score")
+    peak = F.greatest(F.max("b").over(Window.partitionBy(F.lit(0))), F.lit(1e-6))  # of the few hits
+    return top(joined.withColumn("peak", peak).withColumn("score", hit_weight * F.col("a") + late_weight * F.coalesce(F.col("b"), F.lit(0.0)) / F.col("peak")), k).select("id", "score")
 
 
 def dense_sparse_late(dense: DataFrame, sparse: DataFrame, late: DataFrame, k: int = 10, boost: float = 1.15) -> DataFrame:
@@ -95,8 +95,7 @@ def dense_sparse_late(dense: DataFrame, sparse: DataFrame, late: DataFrame, k: i
     boost where dense and sparse agree."""
 
     def scaled(df: DataFrame, name: str) -> DataFrame:
-        peak = df.agg(F.max("score").alias("peak"))
-        return df.crossJoin(F.broadcast(peak)).select("id", F.when(F.col("peak") > 0, F.col("score") / F.col("peak")).otherwise(0.0).alias(name))
+        return df.withColumn("peak", F.max("score").over(Window.partitionBy(F.lit(0)))).select("id", F.when(F.col("peak") > 0, F.col("score") / F.col("peak")).otherwise(0.0).alias(name))
 
     joined = scaled(dense, "d").join(scaled(sparse, "s"), "id", "full_outer").join(scaled(late, "c"), "id", "left")
     d, s, c = (F.coalesce(F.col(x), F.lit(0.0)) for x in "dsc")

@@ -5,18 +5,17 @@ Entities are (id, name, type, description, aliases, importance), edges (src, dst
 
 from __future__ import annotations
 
-import re
+import difflib
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import vector as V
 from lodestone.operators.search import rounded, top
 
-#: Rounds that breadth-first search and label spreading may take at most.
-MAX_ROUNDS = 100
-
 # Parts of a name that decide its type, and names that are no entities.
 ORGANIZATION_PARTS = ("inc", "corp", "ltd", "company", "co")
 LOCATION_PARTS = ("city", "country", "state", "street")
@@ -39,11 +38,19 @@ def entity_key(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
+NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+
+
 def extract_entities(units: DataFrame, unit_col: str = "unit", text_col: str = "text", shortest: int = 2, longest: int = 100) -> DataFrame:
-    """(unit, position, name, type) of runs of capitalised words."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"), F.lit(1))
-    # the position of the i-th run: the length of what stands before it
-    names = units.select(unit_col, F.col(text_col).alias("t"), F.posexplode(found).alias("i", "raw"))
+    """(unit, position, name, type) of runs of capitalised words; position: characters before the run."""
+    t = F.col(text_col)
+    runs = F.regexp_extract_all(t, F.lit(NAME), F.lit(0))
+    # between the runs stands what splitting leaves; lengths of both add up to the places of the runs
+    parts = units.select(unit_col, F.monotonically_increasing_id().alias("__row"), F.arrays_zip(F.split(t, NAME, -1).alias("gap"), runs.alias("raw")).alias("z"))
+    flat = parts.select(unit_col, "__row", F.posexplode("z").alias("i", "z")).select(unit_col, "__row", "i", "z.gap", "z.raw")
+    before = Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("gap") + F.coalesce(F.length("raw"), F.lit(0))).over(before), F.lit(0)) + F.length("gap")
+    names = flat.withColumn("position", at).where("raw is not null")
     name = F.regexp_replace("raw", r"\s+", " ")
     low = F.lower(name)
     organization = F.lit(False)
@@ -54,7 +61,7 @@ def extract_entities(units: DataFrame, unit_col: str = "unit", text_col: str = "
         location |= low.contains(p)
     kind = F.when(organization, "ORGANIZATION").when(location, "LOCATION").otherwise("OTHER")
     valid = (F.length(name) >= shortest) & (F.length(name) <= longest) & ~low.isin(*NO_ENTITIES)
-    return names.where(valid).select(unit_col, F.col("i").alias("position"), name.alias("name"), kind.alias("type"))
+    return names.where(valid).select(unit_col, "position", name.alias("name"), kind.alias("type"))
 
 
 def relation_type(a: Column, b: Column) -> Column:
@@ -101,7 +108,7 @@ def merge_edges(relations: DataFrame, entities: DataFrame, least: float = 0.0) -
     kept = relations.where(F.col("strength") >= least)
     for end in ("src", "dst"):
         kept = kept.join(entities.select(F.col("id").alias(end)), end, "left_semi")
-    return kept.groupBy("src", "dst", "type").agg(F.least(F.lit(1.0), rounded(F.avg("strength"))).alias("strength"), F.count("*").alias("n_sources"))
+    return kept.groupBy("src", "dst", "type").agg(F.least(F.lit(1.0), rounded(F.avg("strength") + 1e-9)).alias("strength"), F.count("*").alias("n_sources"))
 
 
 def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -112,27 +119,36 @@ def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
+@F.pandas_udf(T.DoubleType())
+def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+
 def resolve_names(entities: DataFrame, ratio: float = 0.85) -> DataFrame:
-    """(old, new): names as alike as ratio (above 0; 1 - edit distance / longer length), mapped to the smallest id of
-    their component. Candidates are exact: of the longer name's k + 1 parts, k edits at most leave one whole, which
-    then stands in the shorter name at most k characters off its place."""
-
-    def parts(names: DataFrame) -> DataFrame:
-        """Each part of a name of length m: number, start and length."""
-        k = F.floor((1 - ratio) * F.col("m") + 1e-9).cast("int")
-        cut = names.withColumn("k", k).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k"))))
-        start, end = (F.floor((F.col("part") + i) * F.col("m") / (F.col("k") + 1)).cast("int") for i in (0, 1))
-        return cut.withColumn("start", start).withColumn("size", end - start)
-
-    named = entities.select("id", F.length("id").alias("n")).distinct()
-    whole = parts(named.withColumn("m", F.col("n"))).select("m", "part", F.expr("substring(id, start + 1, size)").alias("text"), F.col("id").alias("id2"))
-    # lengths that differ by more than 1 - ratio cannot reach it
-    lengths = named.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / ratio + 1e-9).cast("int"))))
-    places = parts(lengths).withColumn("lo", F.greatest(F.lit(0), F.col("start") - F.col("k"))).withColumn("hi", F.least(F.col("start") + F.col("k"), F.col("n") - F.col("size"))).where("lo <= hi")
-    places = places.withColumn("at", F.explode(F.expr("sequence(lo, greatest(lo, hi))"))).select("m", "part", F.expr("substring(id, at + 1, size)").alias("text"), "id").distinct()
-    near = places.join(whole, ["m", "part", "text"]).where("id <> id2").select("id", "id2", "m").distinct()
-    alike = near.where(1 - F.levenshtein("id", "id2") / F.greatest(F.col("m"), F.lit(1)) >= ratio).select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
-    return components(alike.select(F.col("id").alias("src"), F.col("id2").alias("dst"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    """(old, new): names whose matching blocks hold as great a share of both as ratio (at least 0.75), mapped to the
+    smallest id of their component. A pair counts if either order of it reaches the ratio.
+
+    Candidates are exact. Names of lengths n and m that reach the ratio match in M >= ratio * (n + m) / 2 characters,
+    in at most n + m - 2 M + 1 blocks, so they share 3 M - n - m - 1 pairs of neighbouring characters, and one of
+    those stands among the rarest of each name: as many as it can spare, and one.
+    """
+    if ratio < 0.75:
+        raise ValueError("ratios below 0.75 leave no common pair of characters to find names by")
+    named = entities.select("id", F.length("id").alias("n")).distinct().where("n > 1")
+    grams = named.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("id"), i, F.lit(2)))).alias("g"))
+    times = F.row_number().over(Window.partitionBy("id", "g").orderBy("n"))
+    grams = grams.withColumn("g", F.concat("g", times.cast("string")))
+    often = grams.groupBy("g").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "g"))
+    shortest = F.ceil(F.col("n") * ratio / (2 - ratio) - 1e-9)
+    shared = F.greatest(F.lit(1), F.ceil((F.col("n") + shortest) * (1.5 * ratio - 1) - 1 - 1e-9))
+    rare = grams.join(often, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - 1 - shared + 1).select("id", "n", "g")
+    a, b = rare.select("g", F.col("id").alias("a"), F.col("n").alias("an")), rare.select("g", F.col("id").alias("b"), F.col("n").alias("bn"))
+    near = a.join(b, "g").where(F.col("a") < F.col("b")).where(2 * F.least("an", "bn") >= ratio * (F.col("an") + F.col("bn")) - 1e-9).select("a", "b").distinct()
+    # M characters in common order leave at most n + m - 2 M to insert and delete
+    near = near.where(F.levenshtein("a", "b") <= F.floor((1 - ratio) * (F.length("a") + F.length("b")) + 1e-9))
+    alike = near.where(F.greatest(_sequence_ratio("a", "b"), _sequence_ratio("b", "a")) >= ratio)
+    return components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
 
 
 # ---------------------------------------------------------------- traversal
@@ -149,7 +165,7 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, known: DataF
     if depth < 1:
         return seen
     steps, frontier = persist(both_ways(edges)), seen
-    for d in range(1, min(depth, MAX_ROUNDS) + 1):
+    for d in range(1, depth + 1):
         reached = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = persist(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
@@ -171,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, by min-label spreading with pointer jumps."""
     steps = persist(both_ways(edges))
     labels = persist(steps.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = steps.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         lower = labels.join(near, "node").select("node", F.least("component", "m").alias("component"))
         jump = lower.select(F.col("node").alias("j"), F.col("component").alias("jc"))
@@ -183,16 +199,63 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): weighted label spreading; ties go to the smaller label, so runs agree."""
-    w = edges.select("src", "dst", "strength").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength")).where("src <> dst")
-    w = persist(w.groupBy("src", "dst").agg(F.sum("strength").alias("w")))
-    labels = w.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
-    for _ in range(rounds):
-        votes = w.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
-        best = Window.partitionBy("node").orderBy(F.desc(rounded(F.col("w"))), "community")
-        labels = persist(votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("node", "community"))
-    return labels
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(level, node, community): a hierarchy of communities by greedy modularity. On a level every node may move to the
+    neighbouring community of greatest gain; half of the nodes (by hash) move at a time, so that neighbours do not
+    swap places for ever. A level ends when modularity no longer grows; its communities are the nodes of the next,
+    until nothing merges. Communities are named by their smallest node; edges are (src, dst, strength).
+    """
+    w = edges.select("src", "dst", "strength").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength"))
+    w = persist(w.groupBy("src", "dst").agg(F.sum("strength").cast("double").alias("w")))
+    total = w.agg(F.sum("w")).first()[0]
+    home = w.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    out, level = None, 0
+    while total:
+        labels, moved = _local_moves(w, total, resolution)
+        if out is not None and not moved:
+            break
+        least = labels.groupBy("community").agg(F.min("node").alias("name"))
+        labels = labels.join(least, "community").select("node", F.col("name").alias("community"))
+        named = labels.select(F.col("node").alias("community"), F.col("community").alias("next"))
+        home = persist(home.join(named, "community").select("node", F.col("next").alias("community")))
+        part = home.select(F.lit(level).alias("level"), "node", "community")
+        out, level = part if out is None else out.unionAll(part), level + 1
+        if not moved:
+            break
+        ends = labels.select(F.col("node").alias("src"), F.col("community").alias("s")), labels.select(F.col("node").alias("dst"), F.col("community").alias("d"))
+        w = persist(w.join(ends[0], "src").join(ends[1], "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")))
+    return out if out is not None else home.select(F.lit(0).alias("level"), "node", "community")
+
+
+def _local_moves(w: DataFrame, total: float, resolution: float) -> tuple[DataFrame, bool]:
+    """(node, community) after moves that raise modularity, and whether any did."""
+    degree = persist(w.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
+    labels = degree.select("node", "k", F.col("node").alias("community"))
+
+    def modularity(labels: DataFrame) -> float:
+        ends = labels.select(F.col("node").alias("src"), F.col("community").alias("s")), labels.select(F.col("node").alias("dst"), F.col("community").alias("d"))
+        inside = w.join(ends[0], "src").join(ends[1], "dst").where("s = d").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        sizes = labels.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+        return inside / total - resolution * sizes / total**2
+
+    best, reached, idle, turn = labels, modularity(labels), 0, 0
+    while idle < 4:  # both halves, twice
+        tot = labels.groupBy("community").agg(F.sum("k").alias("t"))
+        into = w.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("into"))
+        own = labels.select("node", "k", F.col("community").alias("own"))
+        stay = labels.select("node", "community", F.lit(0.0).alias("into"))
+        options = into.unionByName(stay).groupBy("node", "community").agg(F.sum("into").alias("into")).join(tot, "community").join(own, "node")
+        here = F.col("community") == F.col("own")
+        gain = F.round(F.col("into") - resolution * F.col("k") * (F.col("t") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
+        order = Window.partitionBy("node").orderBy(F.desc("gain"), F.desc("here"), "community")
+        pick = options.withColumn("gain", gain).withColumn("here", here).withColumn("r", F.row_number().over(order)).where("r = 1")
+        free = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+        labels = persist(pick.select("node", "k", F.when(free, F.col("community")).otherwise(F.col("own")).alias("community")))
+        now, turn = modularity(labels), turn + 1
+        idle = 0 if now > reached + 1e-9 else idle + 1
+        if now > reached + 1e-9:
+            best, reached = labels, now
+    return best.select("node", "community"), best is not degree and not best.where("node <> community").isEmpty()
 
 
 def importance(edges: DataFrame) -> DataFrame:
@@ -286,24 +349,44 @@ def fuse_local_global(local: DataFrame, global_ids: DataFrame, k: int = 10, loca
     return top(joined.withColumn("score", score), k).select("id", "score")
 
 
-# How questions about one thing, about connections and about everything begin.
-SPECIFIC = (r"\bwho\s+is\b", r"\bwhat\s+is\b", r"\bwhen\s+did\b", r"\bwhere\s+is\b", r"\bhow\s+did\b", r"\bdefine\b", r"\bdetails?\s+(about|of|on)\b")
-CONNECTED = (r"\brelat(ed|ion|ionship)\b", r"\bconnect(ed|ion)?\b", r"\bbetween\b", r"\blink(ed|s)?\b")
-BROAD = (r"\boverview\b", r"\bsummar(y|ize)\b", r"\bmain\s+(themes?|topics?)\b", r"\boverall\b", r"\btrends?\b", r"\bgeneral(ly)?\b", r"\ball\b")
+# Patterns of questions about one thing, about everything, and about connections.
+SPECIFIC = (
+    r"\bwho\s+is\b", r"\bwhat\s+is\b", r"\bwhen\s+did\b", r"\bwhere\s+is\b", r"\bhow\s+did\b", r"\bdefine\b",
+    r"\bexplain\b.*\bspecific\b", r"\bdetails?\s+(about|of|on)\b",
+)
+BROAD = (
+    r"\bwhat\s+are\s+the\s+(main|key|major|important)\b", r"\bsummarize\b", r"\boverview\b", r"\bthemes?\b", r"\btopics?\b",
+    r"\bgenerally\b", r"\boverall\b", r"\bbroad\b", r"\bhigh.?level\b",
+)
+CONNECTED = (
+    r"\bhow\s+(is|are|does|do)\s+.+\s+(related|connected|linked)\b", r"\brelationship\s+between\b", r"\bconnection\s+between\b",
+    r"\bcompare\b", r"\bdifference\s+between\b",
+)
+
+
+def classify(query: Column) -> Column:
+    """relationship, specific, broad or mixed: any pattern of connections decides; else the greater number of patterns,
+    with one more for two capitalised words, half for at most five words (specific) or more than ten (broad)."""
+    low = F.lower(query)
+    words = F.filter(F.split(query, r"\s+"), lambda w: w != "")
+
+    def hits(patterns: tuple[str, ...]) -> Column:
+        total = F.lit(0.0)
+        for p in patterns:
+            total = total + low.rlike(p).cast("double")
+        return total
+
+    capitals = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}.")))
+    specific = hits(SPECIFIC) + (capitals >= 2).cast("double") + 0.5 * (F.size(words) <= 5).cast("double")
+    broad = hits(BROAD) + 0.5 * (F.size(words) > 10).cast("double")
+    return F.when(hits(CONNECTED) > 0, "relationship").when(specific > broad, "specific").when(broad > specific, "broad").otherwise("mixed")
 
 
 def classify_query(query: str) -> str:
-    """relationship, specific, broad or mixed."""
-    low = query.lower()
-    score = {"relationship": sum(bool(re.search(p, low)) for p in CONNECTED), "specific": sum(bool(re.search(p, low)) for p in SPECIFIC), "broad": sum(bool(re.search(p, low)) for p in BROAD)}
-    words = query.split()
-    score["specific"] += (len(re.findall(r"\b[A-Z][a-z]+", query)) >= 2) + 0.5 * (len(words) <= 5)
-    score["broad"] += 0.5 * (len(words) > 10)
-    if score["relationship"] > 0 and score["relationship"] >= max(score["specific"], score["broad"]):
-        return "relationship"
-    if score["specific"] == score["broad"]:
-        return "mixed"
-    return "specific" if score["specific"] > score["broad"] else "broad"
+    """classify() of one question."""
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active().range(1).select(classify(F.lit(query)).alias("kind")).first().kind
 
 
 def build(units: DataFrame, unit_col: str = "unit", text_col: str = "text", window: float = 200, least: float = 0.3) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from lodestone.functions import vector as V
 from lodestone.functions.filters import compile_filter
 
 DIGITS = 6
-#: Largest side of a kNN join that is broadcast, in rows.
-BROADCAST_ROWS = 20_000
+#: Rows of a block of queries and of points in a kNN join, on average at most.
+QUERY_BLOCK = 2_000
+POINT_BLOCK = 50_000
 #: Scores that a kNN join holds at once in a task.
 SCORES = 4_000_000
 
@@ -58,42 +60,41 @@ def vector_search(points: DataFrame, query, k: int = 10, metric: str = "cosine",
 def knn_join(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "qid", query_vector: str = "qvector") -> DataFrame:
     """The k nearest points of each query: query id, id, score, rank.
 
-    Queries are a set given beforehand: while they are few (checked) they are broadcast to the points, each
-    partition keeps its k best per query, and only those are shuffled; more are dealt in blocks of that size.
+    Queries and points are dealt into blocks of at most QUERY_BLOCK and POINT_BLOCK rows on average; each pair of
+    blocks is one task's work, which keeps its k best per query. Only counts come to the driver, and nothing is
+    broadcast. Queries without a vector find nothing.
     """
-    chosen = queries.select(F.col(query_id).alias("__q"), F.col(query_vector).alias("__v"))
-    count = chosen.count()
-    blocks = max(1, -(-count // BROADCAST_ROWS))
-    parts = [chosen.where(F.pmod(F.xxhash64("__q"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [chosen]
-    kind_q, kind_id = chosen.schema["__q"].dataType.simpleString(), points.schema[id_col].dataType.simpleString()
-    out = None
-    for part in parts:
-        rows = part.collect()  # at most about BROADCAST_ROWS
-        q = np.array([r["__v"] for r in rows], float)
-        names = [r["__q"] for r in rows]
-        shared = points.sparkSession.sparkContext.broadcast((names, q))
-
-        def best(batches):
-            keys, queries_ = shared.value
+    kind_q, kind_id = queries.schema[query_id].dataType.simpleString(), points.schema[id_col].dataType.simpleString()
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v is not null")
+    known = points.select(F.col(id_col).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    a, b = (max(1, -(-df.count() // size)) for df, size in ((asked, QUERY_BLOCK), (known, POINT_BLOCK)))
+
+    def dealt(key: str, blocks: int, other: int, block: str, across: str) -> DataFrame:
+        df = (asked if key == "q" else known).withColumn(block, F.pmod(F.xxhash64(key), F.lit(blocks)))
+        return df.withColumn(across, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+
+    def best(part: pa.Table, rows: pa.Table) -> pa.Table:
+        schema = pa.schema([pa.field("q", part.schema.field("q").type), pa.field("i", rows.schema.field("i").type), pa.field("score", pa.float64())])
+        sizes = np.diff(np.asarray(part.column("v").combine_chunks().offsets)), np.diff(np.asarray(rows.column("v").combine_chunks().offsets))
+        out = []
+        for size in np.intersect1d(*sizes):  # vectors of another length share no score
+            mine, theirs = (t.filter(pa.array(n == size)) for t, n in zip((part, rows), sizes))
+            x, y = (np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, size) for t in (mine, theirs))
+            ids = theirs.column("i").to_numpy()
             held: list[tuple[np.ndarray, np.ndarray]] = []
-            for pdf in batches:
-                if not len(pdf) or not len(keys):
-                    continue
-                step = max(1, SCORES // len(keys))
-                for lo in range(0, len(pdf), step):
-                    part = pdf.iloc[lo : lo + step]
-                    scores = np.round(_scores(metric, queries_, np.stack(part["v"].to_numpy()).astype(float)), DIGITS)
-                    held = [_keep([*held, (scores, part["i"].to_numpy())], k)]
-            for scores, ids_ in held:
-                for row, i, name in zip(scores, ids_, keys):
-                    good = np.isfinite(row)
-                    yield pd.DataFrame({"__q": [name] * int(good.sum()), "i": i[good], "score": row[good]})
-
-        kept = points.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(vector_col).alias("v"))
-        found = kept.mapInPandas(best, f"__q {kind_q}, i {kind_id}, score double")
-        out = found if out is None else out.unionAll(found)
-    ranked = top_per(out.withColumnRenamed("i", id_col), k, "__q", id_col)
-    return ranked.select(F.col("__q").alias(query_id), id_col, "score", "rank")
+            step = max(1, SCORES // len(x))
+            for lo in range(0, len(y), step):
+                held = [_keep([*held, (np.round(_scores(metric, x, y[lo : lo + step]), DIGITS), ids[lo : lo + step])], k)]
+            for score, found in held:
+                good = np.isfinite(score)
+                out.append(pa.Table.from_arrays([mine.column("q").take(pa.array(np.repeat(np.arange(len(x)), good.sum(axis=1)))), pa.array(found[good], schema.field("i").type), pa.array(score[good])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    left = dealt("q", a, b, "qb", "pb").groupBy("qb", "pb")
+    right = dealt("i", b, a, "pb", "qb").groupBy("qb", "pb")
+    found = left.cogroup(right).applyInArrow(lambda x, y: best(x, y), f"q {kind_q}, i {kind_id}, score double")
+    ranked = top_per(found.withColumnRenamed("i", id_col), k, "q", id_col)
+    return ranked.select(F.col("q").alias(query_id), id_col, "score", "rank")
 
 
 def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -171,16 +172,18 @@ def greedy_dedup(points: DataFrame, threshold: float = 0.95, block: str | None =
 
 
 # ---------------------------------------------------------------- late interaction
-def maxsim(docs: DataFrame, query: DataFrame, k: int = 10, id_col: str = "id", cosine: bool = True) -> DataFrame:
-    """Sum over query tokens of the greatest similarity of a document token. docs: (id, pos, vec); query: (qpos, qvec)."""
+def maxsim(docs: DataFrame, query: DataFrame, k: int | None = 10, id_col: str = "id", cosine: bool = True) -> DataFrame:
+    """Sum over query tokens of the greatest similarity of a document token; k None: of all documents. docs: (id, pos,
+    vec); query: (qpos, qvec), the tokens of one query against all rows."""
     score = V.cosine_similarity("qvec", "vec") if cosine else V.dot("qvec", "vec")
-    pairs = docs.crossJoin(F.broadcast(query.limit(BROADCAST_ROWS))).groupBy(id_col, "qpos").agg(F.max(score).alias("s"))
-    return top(pairs.groupBy(id_col).agg(F.sum("s").alias("score")), k, id_col)
+    pairs = docs.crossJoin(query).groupBy(id_col, "qpos").agg(F.max(score).alias("s"))
+    summed = pairs.groupBy(id_col).agg(F.sum("s").alias("score"))
+    return summed.withColumn("score", rounded(F.col("score"))) if k is None else top(summed, k, id_col)
 
 
 def token_matches(docs: DataFrame, query: DataFrame, threshold: float, id_col: str = "id") -> DataFrame:
     """(id, qpos, pos, score) of token pairs at least as similar as threshold."""
-    pairs = docs.crossJoin(F.broadcast(query.limit(BROADCAST_ROWS))).withColumn("score", rounded(V.cosine_similarity("qvec", "vec")))
+    pairs = docs.crossJoin(query).withColumn("score", rounded(V.cosine_similarity("qvec", "vec")))
     return pairs.where(F.col("score") >= threshold).select(id_col, "qpos", "pos", "score")
 
 
@@ -197,16 +200,16 @@ def postings(points: DataFrame, id_col: str = "id", sparse_col: str = "sparse")
 
 
 def sparse_search(entries: DataFrame, query: dict, k: int = 10, threshold: float | None = None, cosine: bool = False, id_col: str = "id") -> DataFrame:
-    """Sparse dot (or cosine) product over postings (id, key, value), with the number of matched keys."""
+    """Sparse dot (or cosine) product over postings (id, key, value), with the number of matched keys, in one pass."""
     spark = entries.sparkSession
     kind = entries.schema["key"].dataType.simpleString()
-    q = spark.createDataFrame([(key, float(v)) for key, v in query.items()], f"key {kind}, q double")
-    hit = entries.join(F.broadcast(q), "key").groupBy(id_col).agg(F.sum(F.col("value") * F.col("q")).alias("score"), F.count("*").alias("matched"))
-    if cosine:
-        norms = entries.groupBy(id_col).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n"))
-        scale = float(np.sqrt(sum(v * v for v in query.values())))
-        hit = hit.join(norms, id_col).withColumn("score", F.when(F.col("n") * scale > 0, F.col("score") / (F.col("n") * scale)).otherwise(0.0)).drop("n")
-    return top(hit, k, id_col, threshold=threshold)
+    q = F.broadcast(spark.createDataFrame([(key, float(v)) for key, v in query.items()], f"key {kind}, q double"))
+    if not cosine:
+        return top(entries.join(q, "key").groupBy(id_col).agg(F.sum(F.col("value") * F.col("q")).alias("score"), F.count("*").alias("matched")), k, id_col, threshold=threshold)
+    scale = float(np.sqrt(sum(v * v for v in query.values())))
+    length = F.sqrt(F.sum(F.col("value") * F.col("value"))) * scale
+    both = entries.join(q, "key", "left").groupBy(id_col).agg(F.sum(F.col("value") * F.col("q")).alias("score"), F.count("q").alias("matched"), length.alias("n")).where("matched > 0")
+    return top(both.withColumn("score", F.when(F.col("n") > 0, F.col("score") / F.col("n")).otherwise(0.0)).drop("n"), k, id_col, threshold=threshold)
 
 
 # ---------------------------------------------------------------- keyword

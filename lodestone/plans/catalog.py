@@ -17,6 +17,7 @@ from lodestone.functions.filters import acl_predicate, compile_filter, geo_box,
 from lodestone.operators import aggregates as A
 from lodestone.operators import collection as C
 from lodestone.operators import documents as D
+from lodestone.operators import facade as E
 from lodestone.operators import fusion as U
 from lodestone.operators import graph as G
 from lodestone.operators import quantize as Q
@@ -331,10 +332,10 @@ def token_counts_per_document(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@register("document_frequency", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text', 3, True)}) AS term FROM documents) GROUP BY ALL) GROUP BY term HAVING count(*) >= 20")
+@register("document_frequency", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text', 3, True)}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def document_frequency(spark, d):
     tf, _ = S.term_counts(texts(spark, d))
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where("df >= 20")
+    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 @register("stems")
@@ -353,9 +354,9 @@ def highlights(spark, d):
     return texts(spark, d).select("id", X.highlights(F.col("text"), TERMS).alias("parts")).where(F.size("parts") > 0)
 
 
-@register("char_ngrams", "SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(range(1, length(w)), lambda i: '#' || substr(w, CAST(i AS BIGINT), 2) || '#'), list_transform(range(1, length(w) - 1), lambda i: '#' || substr(w, CAST(i AS BIGINT), 3) || '#'))) AS g FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 0)) AS w FROM benchmark)) GROUP BY g")
+@register("char_ngrams", "SELECT g, count(*) AS n FROM (SELECT unnest(list_concat(list_transform(range(1, length(w)), lambda i: '#' || substr(w, CAST(i AS BIGINT), 2) || '#'), list_transform(range(1, length(w) - 1), lambda i: '#' || substr(w, CAST(i AS BIGINT), 3) || '#'))) AS g FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 0)) AS w FROM documents)) GROUP BY g")
 def char_ngrams(spark, d):
-    return table(spark, d, "benchmark").select(F.explode(X.char_ngrams(F.col("text"))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select(F.explode(X.char_ngrams(F.col("text"))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
 
 @register("summaries")
@@ -405,9 +406,21 @@ def sparse_from_dense(spark, d):
     return m.select("id", F.size("m").cast("long").alias("n"), F.round(V.sparse_norm("m"), 6).alias("norm"))
 
 
-@register("bm25_sparse_vectors")
+@register("bm25_sparse_vectors", f"""WITH d AS (SELECT doc_id AS id, {tokens_sql('text', 2)} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT id, count(*) AS n, max(round({PLUS} * tf * (1.2 + 1) / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean)), 6)) AS most FROM tf JOIN df USING (term), st GROUP BY id""")
 def bm25_sparse_vectors(spark, d):
-    return S.bm25_weights(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).select("id", F.size("sparse").alias("n"))
+    found = S.bm25_weights(texts(spark, d))
+    return found.select("id", F.size("sparse").cast("long").alias("n"), F.array_max(F.map_values("sparse")).alias("most"))
+
+
+_STEM = " ".join(f"WHEN w LIKE '%{x}' AND length(w) - {len(x)} >= 3 THEN substr(w, 1, length(w) - {len(x)})" for x in X.LIGHT_SUFFIXES)
+
+
+@register("light_stems", f"SELECT w AS term, CASE {_STEM} ELSE w END AS stem FROM (SELECT DISTINCT unnest({tokens_sql('text')}) AS w FROM documents)")
+def light_stems(spark, d):
+    terms = texts(spark, d).select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct()
+    return terms.select("term", X.light_stem(F.col("term")).alias("stem"))
 
 
 # ---------------------------------------------------------------- fusion
@@ -480,10 +493,44 @@ def rerank_mmr(spark, d):
 @register("hybrid_late", f"WITH {_LISTS}, {_TOK}, h AS (SELECT id, round(sum(1 / (60 + rank)), 6) AS a FROM r GROUP BY id ORDER BY a DESC, id LIMIT 30), m AS (SELECT b.id, a.pos, max(list_cosine_similarity(a.vec, b.vec)) AS s FROM tok a, tok b WHERE a.id = 0 GROUP BY ALL), c AS (SELECT id, round(sum(s), 6) AS b FROM m GROUP BY id), j AS (SELECT h.id, a, b FROM h LEFT JOIN c USING (id)) SELECT id, round(0.6 * a + 0.4 * coalesce(b, 0) / (SELECT greatest(max(b), 1e-6) FROM j), 6) AS score FROM j ORDER BY score DESC, id LIMIT 10")
 def hybrid_late(spark, d):
     t = token_vectors(spark, d)
-    late = S.maxsim(t, t.where("id = 0").select(F.col("pos").alias("qpos"), F.col("vec").alias("qvec")), 1_000_000)
+    late = S.maxsim(t, t.where("id = 0").select(F.col("pos").alias("qpos"), F.col("vec").alias("qvec")), None)
     return U.blend_max(U.rrf(two_lists(spark, d), 30), late, 10).select("id", "score")
 
 
+# ---------------------------------------------------------------- one handle on a collection
+QUESTION = " ".join(TERMS)
+
+
+@register("search_modes", f"WITH {_LISTS}, h AS (SELECT id, round(sum(0.5 / (60 + rank)) * CASE WHEN count(*) > 1 THEN 1.1 ELSE 1 END, 6) AS score FROM r GROUP BY id ORDER BY score DESC, id LIMIT 10) SELECT 'dense' AS mode, * FROM (SELECT id, score FROM dl ORDER BY score DESC, id LIMIT 10) UNION ALL SELECT 'sparse', * FROM (SELECT id, score FROM tl ORDER BY score DESC, id LIMIT 10) UNION ALL SELECT 'hybrid', id, score FROM h")
+def search_modes(spark, d):
+    # vectors without a document and documents without a vector stay in: each mode sees what it can score
+    points_ = vectors(spark, d).join(texts(spark, d), "id", "full_outer")
+    handle, q, out = E.Collection(points_), vector_of(spark, d, 0), None
+    for mode in ("dense", "sparse", "hybrid"):
+        part = handle.search(QUESTION, q, 10, mode).select(F.lit(mode).alias("mode"), "id", "score")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+_ENTERPRISE = f"{V_SQL}, {Q_SQL}, a AS ({_ACL}), t AS (SELECT v.id, v.label, round(list_cosine_similarity(v, q), 6) AS score FROM v JOIN a ON a.doc_id = v.id JOIN documents s ON s.doc_id = v.id, q WHERE n_chars > 300 AND (list_contains(acl, 'public') OR (NOT list_contains(acl, 'deny:user:ann') AND (list_contains(acl, 'ann') OR list_contains(acl, 'group:en')))) ORDER BY score DESC, v.id LIMIT 50)"
+
+
+def _enterprise(spark, d):
+    lists = acl_documents(spark, d).select(F.col("doc_id").alias("id"), F.col("acl").alias("_acl"))
+    handle = E.Collection(points(spark, d).join(lists, "id"))
+    return handle.enterprise(vector_of(spark, d, 0), 10, {"n_chars": {"$gt": 300}}, ["user:ann", "group:en"], ["label"], default_allow=False)
+
+
+@register("search_enterprise", f"WITH {_ENTERPRISE} SELECT id, score FROM t ORDER BY score DESC, id LIMIT 10")
+def search_enterprise(spark, d):
+    return _enterprise(spark, d)[0]
+
+
+@register("search_enterprise_facets", f"WITH {_ENTERPRISE}, c AS (SELECT CAST(label AS VARCHAR) AS value, count(*) AS n FROM t GROUP BY label), s AS (SELECT * FROM c ORDER BY n DESC, value LIMIT 10) SELECT 'label' AS field, value, n, (SELECT sum(n)::BIGINT FROM c) AS total, ((SELECT sum(n) FROM c) - (SELECT sum(n) FROM s))::BIGINT AS other FROM s")
+def search_enterprise_facets(spark, d):
+    return _enterprise(spark, d)[1]
+
+
 # ---------------------------------------------------------------- aggregates
 @register("facet_counts", "WITH c AS (SELECT source AS value, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 2), s AS (SELECT * FROM c ORDER BY n DESC, value LIMIT 5) SELECT value, n, (SELECT sum(n)::BIGINT FROM c) AS total, ((SELECT sum(n) FROM c) - (SELECT sum(n) FROM s))::BIGINT AS other FROM s")
 def facet_counts(spark, d):
@@ -541,8 +588,11 @@ SELECT qid, round(hits / rel, 6) AS recall, round(coalesce(1 / first, 0), 6) AS
 def retrieval_metrics(spark, d):
     p = vectors(spark, d)
     found = S.knn_join(p, p.select(F.col("id").alias("qid"), F.col("vector").alias("qvector")), 10)
-    truth = p.select(F.col("id").alias("qid"), "label").join(p.select("id", "label"), "label").select("qid", "id")
-    return A.retrieval_metrics(found, truth, 10)
+    # relevant are the vectors of the query's label: their number is a count, and hits carry their labels
+    labels = p.select("id", "label")
+    relevant = labels.join(labels.groupBy("label").agg(F.count("*").alias("relevant")), "label").select(F.col("id").alias("qid"), "relevant")
+    judged = found.join(labels, "id").join(labels.select(F.col("id").alias("qid"), F.col("label").alias("asked")), "qid")
+    return A.graded(judged.select("qid", "rank", (F.col("label") == F.col("asked")).alias("hit")), relevant, 10)
 
 
 @register("redaction", "SELECT url, CASE WHEN length(url) > 8 THEN substr(url, 1, 4) || '***' || right(url, 4) ELSE url END AS shown FROM pages")
@@ -683,25 +733,47 @@ def graph_importance(spark, d):
     return G.importance(order_edges(spark, d))
 
 
-@register("graph_components", "SELECT CAST(r_regionkey * 1000 AS BIGINT) AS component, count(*) + 1 AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey")
+# reached from the least node; what is not reached would be missing here and show as a difference
+@register("graph_components", f"WITH RECURSIVE {_EDGES}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), w(node) AS (SELECT min(src) FROM e UNION SELECT b.dst FROM w JOIN b ON b.src = w.node) SELECT min(node) AS component, count(*) AS n FROM w")
 def graph_components(spark, d):
+    return G.components(order_edges(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@register("graph_components_regions", "SELECT CAST(r_regionkey * 1000 AS BIGINT) AS component, count(*) + 1 AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey")
+def graph_components_regions(spark, d):
     edges = table(spark, d, "nation").select((F.col("n_regionkey") * 1000).cast("long").alias("src"), (F.col("n_nationkey") + 100_000).cast("long").alias("dst"))
     return G.components(edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@register("graph_communities")
+@register("graph_communities", "SELECT CAST(n_regionkey AS BIGINT) AS community, count(*) + 1 AS n FROM nation GROUP BY n_regionkey")
 def graph_communities(spark, d):
     edges = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst"), F.lit(1.0).alias("strength"))
-    return G.label_communities(edges).groupBy("community").agg(F.count("*").alias("n"))
+    return G.communities(edges).where("level = 0").groupBy("community").agg(F.count("*").alias("n"))
 
 
 def units(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("unit"), F.regexp_replace("text", r"[^A-Za-z.,\s]", "").alias("text"))
+    """Texts of all documents. Letters and digits beyond ASCII become 0, and other such characters spaces, so that both
+    engines see the same word boundaries; places stay."""
+    text = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F\p{L}\p{N}]", " "), r"[^\x00-\x7F]", "0")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("unit"), text.alias("text"))
 
 
-_NAMES = r"n AS (SELECT item_id AS unit, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^A-Za-z.,\s]', '', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), lambda x: length(x) >= 2)) AS raw FROM benchmark), m AS (SELECT unit, regexp_replace(raw, '\s+', ' ', 'g') AS name FROM n)"
+_RUN = r"'\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'"
+_UNITS = r"u AS (SELECT doc_id AS unit, regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'), '[^\x00-\x7F]', '0', 'g') AS text FROM documents)"
+_NAMES = _UNITS + rf""", z AS (SELECT unit, regexp_split_to_array(text, {_RUN}) AS gaps, regexp_extract_all(text, {_RUN}) AS runs FROM u),
+f AS (SELECT unit, i, gaps[i] AS gap, runs[i] AS raw FROM (SELECT unit, gaps, runs, unnest(range(1, len(runs) + 1)) AS i FROM z)),
+n AS (SELECT unit, raw, CAST(sum(length(gap) + length(raw)) OVER (PARTITION BY unit ORDER BY i) - length(raw) AS BIGINT) AS position FROM f), m AS (SELECT unit, position, regexp_replace(raw, '\s+', ' ', 'g') AS name FROM n WHERE length(regexp_replace(raw, '\s+', ' ', 'g')) BETWEEN 2 AND 100)"""
 _KIND = "CASE WHEN regexp_matches(lower(name), 'inc|corp|ltd|company|co') THEN 'ORGANIZATION' WHEN regexp_matches(lower(name), 'city|country|state|street') THEN 'LOCATION' ELSE 'OTHER' END"
 _NOT = "lower(name) NOT IN ('the', 'a', 'an', 'this', 'that', 'it', 'he', 'she', 'they')"
+_RELATIONS = f"""t AS (SELECT unit, position AS p, lower(name) AS k, {_KIND} AS kind FROM m WHERE {_NOT}),
+x AS (SELECT a.unit, least(a.k, b.k) AS src, greatest(a.k, b.k) AS dst, a.p AS pa, b.p AS pb, CASE WHEN a.kind <> b.kind AND a.kind IN ('ORGANIZATION', 'LOCATION') AND b.kind IN ('ORGANIZATION', 'LOCATION') THEN 'located_in' ELSE 'related_to' END AS type
+  FROM t a JOIN t b ON a.unit = b.unit AND b.p BETWEEN a.p AND a.p + 200 AND a.k <> b.k),
+y AS (SELECT *, row_number() OVER (PARTITION BY unit, src, dst ORDER BY pa, pb, type) AS r FROM x)"""
+
+
+@register("entity_mentions", f"WITH {_NAMES} SELECT unit, position, name, {_KIND} AS type FROM m WHERE {_NOT}")
+def entity_mentions(spark, d):
+    return G.extract_entities(units(spark, d)).withColumn("position", F.col("position").cast("long"))
 
 
 @register("graph_entities", f"WITH {_NAMES} SELECT lower(name) AS id, min(name) AS name, min({_KIND}) AS type, count(DISTINCT unit) AS n_units, count(*) AS n_mentions FROM m WHERE {_NOT} GROUP BY lower(name)")
@@ -709,17 +781,29 @@ def graph_entities(spark, d):
     return G.merge_entities(G.extract_entities(units(spark, d))).drop("aliases")
 
 
-@register("graph_relations")
+@register("graph_relations", f"WITH {_NAMES}, {_RELATIONS} SELECT src, dst, type, least(1.0, round(avg(greatest(0.3, 1 - (pb - pa) / 200)) + 1e-9, 6)) AS strength, count(*) AS n_sources FROM y WHERE r = 1 GROUP BY src, dst, type")
 def graph_relations(spark, d):
-    return G.build(units(spark, d), window=10)[1]
+    return G.build(units(spark, d))[1]
 
 
 @register("graph_local_search")
 def graph_local_search(spark, d):
-    entities, edges = G.build(units(spark, d), window=10)
+    entities, edges = G.build(units(spark, d))
     return G.local_search(entities, edges, "the erth and", 10, 1)
 
 
+def _counted(patterns: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(regexp_matches(low, '{p}') AS DOUBLE)" for p in patterns)
+
+
+@register("classify_questions", rf"""WITH w AS (SELECT conv_id, turn, lower(text) AS low, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM conversations WHERE text IS NOT NULL),
+s AS (SELECT conv_id, turn, {_counted(G.CONNECTED)} AS c, {_counted(G.SPECIFIC)} + CASE WHEN len(list_filter(words, lambda x: regexp_matches(x, '^\p{{Lu}}.'))) >= 2 THEN 1 ELSE 0 END + CASE WHEN len(words) <= 5 THEN 0.5 ELSE 0 END AS a,
+{_counted(G.BROAD)} + CASE WHEN len(words) > 10 THEN 0.5 ELSE 0 END AS b FROM w)
+SELECT conv_id, turn, CASE WHEN c > 0 THEN 'relationship' WHEN a > b THEN 'specific' WHEN b > a THEN 'broad' ELSE 'mixed' END AS kind FROM s""")
+def classify_questions(spark, d):
+    return table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", G.classify(F.col("text")).alias("kind"))
+
+
 @register("graph_fusion", "WITH l(id, s) AS (SELECT vec_id, label / 10 FROM embeddings WHERE vec_id % 2 = 0), g(id) AS (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0) SELECT id, round(CASE WHEN s IS NULL THEN 0.2 WHEN g.id IS NULL THEN 0.6 * s ELSE 0.6 * s + 0.4 END, 6) AS score FROM l FULL JOIN g USING (id) ORDER BY score DESC, id LIMIT 20")
 def graph_fusion(spark, d):
     p = vectors(spark, d)
@@ -779,9 +863,9 @@ def asof_join(spark, d):
     return events.withColumn("p", last).where("event_type <> 'purchase'").select("event_id", F.col("p.event_id").alias("last_purchase"))
 
 
-@register("top_terms", f"SELECT item_id, term, n FROM (SELECT item_id, term, n, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, term) AS r FROM (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({tokens_sql('text', 3, True)}) AS term FROM benchmark) GROUP BY ALL)) WHERE r <= 5")
+@register("top_terms", f"SELECT item_id, term, n FROM (SELECT item_id, term, n, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, term) AS r FROM (SELECT item_id, term, count(*) AS n FROM (SELECT doc_id AS item_id, unnest({tokens_sql('text', 3, True)}) AS term FROM documents) GROUP BY ALL)) WHERE r <= 5")
 def top_terms(spark, d):
-    tf, _ = S.term_counts(table(spark, d, "benchmark"), "item_id")
+    tf, _ = S.term_counts(table(spark, d, "documents").withColumnRenamed("doc_id", "item_id"), "item_id")
     by = Window.partitionBy("item_id").orderBy(F.desc("tf"), "term")
     return tf.withColumn("r", F.row_number().over(by)).where("r <= 5").select("item_id", "term", F.col("tf").alias("n"))
 
@@ -840,7 +924,7 @@ def graph_seeds(spark, d):
 
 @register("graph_community_search")
 def graph_community_search(spark, d):
-    entities, edges = G.build(units(spark, d), window=10)
+    entities, edges = G.build(units(spark, d))
     members = G.components(edges).withColumnRenamed("component", "community")
     found = G.community_summaries(members, entities).select(F.col("community").alias("id"), "size", "summary", F.lit(0.5).alias("importance"))
     return G.global_search(found, "which entities erth", 5).select("id", "size", "score")
@@ -863,7 +947,11 @@ def scratch(spark, name: str) -> str:
     import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -16,8 +16,8 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 
 
 def latest(batch: DataFrame, id_col: str = "id", order: str = "updated_at") -> DataFrame:
-    """The last row of each id."""
-    by = Window.partitionBy(id_col).orderBy(F.desc(order))
+    """The last row of each id; of rows of the same moment the one with the greatest hash, whatever order they come in."""
+    by = Window.partitionBy(id_col).orderBy(F.desc(order), F.desc(F.xxhash64(*[F.col(f.name) for f in batch.schema if f.dataType.typeName() not in ("map", "variant")])))
     return batch.withColumn("__r", F.row_number().over(by)).where("__r = 1").drop("__r")
 
 

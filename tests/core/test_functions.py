@@ -112,10 +112,87 @@ def test_graph(spark):
     assert {(r.node, r.component) for r in G.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
     assert {r.node: r.degree for r in G.importance(edges).collect()}[9] == 1
     assert G.classify_query("How are Ann and Bob connected?") == "relationship"
-    units = spark.createDataFrame([(1, "Acme Corp met Paris City. The Acme Corp grew."), (2, None)], "unit int, text string")
-    entities, relations = G.build(units, window=3)
+    assert G.classify_query("Compare Ann and Bob. What is new, who is who?") == "relationship"
+    assert G.classify_query("What are the main themes") == "broad" and G.classify_query("Where is Ann Berg") == "specific"
+    assert G.classify_query("it rains on the wide and empty plains") == "mixed"
+    units = spark.createDataFrame([(1, "Acme Corp met Paris City. The Acme Corp grew."), (2, None), (3, f"Anna Berg {'x' * 50} Carl  Dahl {'y' * 150} Emil")], "unit int, text string")
+    mentions = {(r.unit, r.name): r.position for r in G.extract_entities(units).collect()}
+    assert mentions == {(1, "Acme Corp"): 0, (1, "Paris City"): 14, (1, "The Acme Corp"): 26, (3, "Anna Berg"): 0, (3, "Carl Dahl"): 61, (3, "Emil"): 223}
+    entities, relations = G.build(units.where("unit < 3"))
     assert {r.id: r.type for r in entities.collect()} == {"acme corp": "ORGANIZATION", "paris city": "LOCATION", "the acme corp": "ORGANIZATION"}
     assert relations.where("type = 'located_in'").count() == 2
+    assert {(r.src, r.dst): r.strength for r in relations.collect()}["acme corp", "paris city"] == 0.93
+    far = {(r.src, r.dst): r.strength for r in G.build(units.where("unit = 3"))[1].collect()}
+    assert far == {("anna berg", "carl dahl"): 0.695, ("carl dahl", "emil"): 0.3}
+
+
+def test_communities(spark):
+    def cliques(sizes, bridges):
+        edges, at = [], 0
+        for n in sizes:
+            edges += [(at + i, at + j, 1.0) for i in range(n) for j in range(i)]
+            at += n
+        return spark.createDataFrame(edges + bridges, "src long, dst long, strength double")
+
+    found = G.communities(cliques([5, 5, 6], [(0, 5, 0.5), (5, 10, 0.5)]))
+    base = {r.node: r.community for r in found.where("level = 0").collect()}
+    assert base == {i: 0 if i < 5 else 5 if i < 10 else 10 for i in range(16)}
+    star = spark.createDataFrame([(0, i, 1.0) for i in range(1, 7)], "src long, dst long, strength double")
+    assert {r.community for r in G.communities(star).where("level = 0").collect()} == {0}
+    assert G.communities(star.limit(0)).count() == 0
+
+
+def test_collection_handle(spark):
+    import re as regex
+
+    from lodestone.operators.facade import Collection, query_terms
+
+    def embed(texts):
+        return [[len(regex.findall(w, t)) + 0.01 for w in ("cat", "dog", "bird")] for t in texts]
+
+    schema = "id string, text string, lang string, _acl array<string>"
+    rows = [("a", "cat cat", "en", ["user:ann"]), ("b", "dog and cat", "en", ["public"]), ("c", "bird", "fr", None), ("d", "dog dog", "en", ["user:bob"])]
+    empty = spark.createDataFrame([], "id string, vector array<float>, text string, lang string, _acl array<string>")
+    handle = Collection(empty, embed=embed).add(spark.createDataFrame(rows, schema))
+    assert handle.count() == 4 and [r.id for r in handle.get(["c", "zz"]).collect()] == ["c", "zz"]
+    for mode in ("dense", "sparse", "hybrid", "ultimate"):
+        assert handle.search("cat", limit=1, mode=mode).first().id in ("a", "b"), mode
+    assert handle.search("cat cat", limit=1, mode="dense").first().id == "a"
+    assert {r.id for r in handle.search("dog", mode="dense", where={"lang": "en"}, principals=["user:ann"]).collect()} == {"a", "b"}
+    for method in ("exact", "mmr", "weighted"):
+        assert handle.search("bird", limit=2, mode="dense", rerank=method).count() == 2
+    paired = Collection(handle.points, embed=embed, score_pairs=lambda q, ts: [float("dog dog" in t) for t in ts], graph=lambda q, k: handle.points.where("id = 'c'").select("id", F.lit(1.0).alias("score")))
+    assert paired.search("dog", limit=1, mode="dense", rerank="model").first().id == "d"
+    assert "c" in {r.id for r in paired.search("dog", limit=4, mode="graph").collect()}
+    hits, facets = handle.enterprise([1.0, 1.0, 0.0], 2, facets=["lang"], principals=["user:bob"], default_allow=False)
+    assert {r.id for r in hits.collect()} == {"b", "d"} and {(r.value, r.n) for r in facets.collect()} == {("en", 2)}
+    grown = handle.add(spark.createDataFrame([("a", "bird bird", "en", None), ("e", "cat", "en", None)], schema)).delete(["d", "none"])
+    assert grown.count() == 4 and grown.search("bird", limit=1, mode="dense").first().id in ("a", "c") and grown.clear().count() == 0
+    for bad in ({"mode": "odd"}, {"rerank": "odd"}, {"mode": "graph"}):
+        with pytest.raises(ValueError):
+            handle.search("cat", **bad)
+    assert query_terms("The Cat, is on a mat-42") == ["cat", "mat"] or "cat" in query_terms("The Cat, is on a mat-42")
+
+
+def test_knn_join_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import search as S
+
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(S, "POINT_BLOCK", 13)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 5))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [1.0, 2.0])], "id long, vector array<double>")
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(x[:20])] + [("none", None), ("other", [1.0, 1.0])], "qid string, qvector array<double>")
+    got = {}
+    for r in S.knn_join(points, queries, 4, "euclidean").collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.id
+    assert got.pop("other") == {1: 101} and len(got) == 20
+    for i in range(20):
+        order = np.argsort(((x - x[i]) ** 2).sum(1), kind="stable")[:4]
+        assert [got[f"q{i}"][r] for r in range(1, 5)] == order.tolist()
+    assert S.knn_join(points.limit(0), queries, 4).count() == 0
 
 
 def test_resolve_names(spark):
@@ -125,17 +202,10 @@ def test_resolve_names(spark):
 
 def test_resolve_names_meets_all_pairs(spark):
     import random
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+    from difflib import SequenceMatcher
 
     rng = random.Random(9)
-    names = {"anderson", "enderson", "new york city", "newyork city", "\u00e9clair shop", "eclair shop", ""}
+    names = {"anderson", "enderson", "new york city", "newyork city", "\u00e9clair shop", "eclair shop", "", "a", "ab"}
     for _ in range(60):
         name = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 24))).strip()
         names.add(name)
@@ -144,7 +214,7 @@ def test_resolve_names_meets_all_pairs(spark):
             name = name[:at] + rng.choice(["", "x", "yy"]) + name[at + rng.randint(0, 2) :]
             names.add(name)
     group = {n: n for n in names}
-    pairs = {(a, b) for a in names for b in names if a < b and 1 - distance(a, b) / max(len(a), len(b)) >= 0.85}
+    pairs = {(a, b) for a in names for b in names if a < b and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.85}
     for _ in names:
         for a, b in pairs:
             group[a] = group[b] = min(group[a], group[b])
