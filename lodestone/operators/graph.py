@@ -164,9 +164,13 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, known: DataF
     seen = persist(first.withColumn("depth", F.lit(0)))
     if depth < 1:
         return seen
-    steps, frontier = persist(both_ways(edges)), seen
+    steps, frontier = edges.select("src", "dst").where("src <> dst"), seen
+    if depth > 1:
+        steps = persist(steps)
     for d in range(1, depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        # only edges at the frontier, from either end
+        ends = [steps.join(frontier.select(F.col("node").alias(a)), a, "left_semi").select(F.col(b).alias("node")) for a, b in (("src", "dst"), ("dst", "src"))]
+        reached = ends[0].union(ends[1]).distinct()
         frontier = persist(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
