@@ -76,9 +76,13 @@ _PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.in
 
 
 def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int, end_id: int) -> DataFrame:
-    """Cut documents into pieces of at most size ids: id, start, length, ids_crc32, doc_tokens, salt (0 to 2**20)."""
+    """Cut documents into pieces of at most size ids: id, start, length, ids_crc32, doc_tokens, salt (0 to 2**20; by
+    row, so that equal texts get many salts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, serial = TaskContext.get().partitionId(), 0
         encode, end = encoder(path), np.array([end_id], np.uint32)
         for batch in batches:
             rows = []
@@ -87,7 +91,8 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int, en
                 for start in range(0, len(ids), size):
                     body = ids[start : start + size].tobytes()
                     crc = zlib.crc32(body)
-                    rows.append((key, start, len(body) // 4, crc, len(ids), zlib.crc32(b"%d" % crc, start) >> 12))
+                    rows.append((key, start, len(body) // 4, crc, len(ids), zlib.crc32(b"%d-%d" % (part, serial), crc) >> 12))
+                    serial += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], schema=_PIECES)
 
