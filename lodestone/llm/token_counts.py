@@ -34,6 +34,8 @@ from lodestone.llm.common import pack, pack_strings, shuffle_partitions, slices,
 
 #: Text of a batch in bytes. Larger batches name a shared pre-token fewer times.
 BATCH_BYTES = 12_000_000
+#: Text of a bucket in bytes, on average at most: what a task holds does not grow with the input.
+BUCKET_BYTES = 16_000_000
 
 
 class PieceCounter:
@@ -120,7 +122,8 @@ _PARTS_DDL = "route long, batch string, kind int, a binary, b binary, c binary,
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,7 +153,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                             often.append(times)
                     base.append(total)
                     named.append(len(which) - before)
-                key = f"{part}-{serial}"
+                # a recomputed partition reads the same splits, so its batches and keys are the same; the sum makes sure
+                key = f"{part}-{serial}-{zlib.crc32(np.array(sizes + base, np.int64).tobytes())}"
                 serial += 1
                 rows = [(
                     buckets + zlib.crc32(key.encode()) % buckets, key, 0,
@@ -187,12 +191,19 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     out = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                kept.setdefault(row["batch"], []).append(row)
-        for key in list(kept):
-            rows = kept.pop(key)
+        def whole() -> Iterator[tuple[str, list]]:
+            """The rows of one batch at a time; they come in order of batches."""
+            kept: list = []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if kept and row["batch"] != kept[0]["batch"]:
+                        yield kept[0]["batch"], kept
+                        kept = []
+                    kept.append(row)
+            if kept:
+                yield kept[0]["batch"], kept
+
+        for key, rows in whole():
             head = next(r for r in rows if r["kind"] == 0)
             sizes, base, named = unpack(head["b"]).reshape(3, -1)
             which, often = unpack(head["c"]), unpack(head["d"])
@@ -200,12 +211,14 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for r in rows:
                 if r["kind"] == 2:
                     pieces[unpack(r["a"])] = unpack(r["b"])
+            if not pieces.all():  # every pre-token has a piece
+                raise ValueError(f"batch {key}: pre-tokens without an answer")
             doc = np.repeat(np.arange(len(named)), named)
             total = base + np.bincount(doc, weights=pieces[which] * often, minlength=len(named)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(unpack(head["a"]), pa.int64(), mask=unpack(head["e"]).astype(bool)), pa.array(sizes), pa.array(total)], schema=out)
 
     parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(split, _PARTS_DDL)
     answered = parts.repartition(buckets, "route").mapInArrow(answer, _PARTS_DDL)
-    counted = answered.repartition(buckets, "batch").mapInArrow(add_up, "id long, n_bytes long, n_tokens long")
+    counted = answered.repartition(buckets, "batch").sortWithinPartitions("batch").mapInArrow(add_up, "id long, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
