@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import shared_dir, shuffle_partitions
 
-#: Records of one archive file at most.
+#: Records of one archive file at most, and payload bytes on average at most: a file is read back as a whole.
 ARCHIVE_RECORDS = 5_000
+ARCHIVE_BYTES = 64_000_000
+#: Groups that equal payloads of rows without an id are dealt to.
+SALTS = 64
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -48,13 +51,18 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Records: page_id, url, html, payload_bytes, payload_digest, record_type, refers_to."""
     raw = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     raw = raw.withColumn("hex", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+    # rows that repeat an id and its payload are told apart by their turn; those without an id may be many
+    raw = raw.withColumn("salt", F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url"), F.lit(SALTS))).otherwise(0))
     raw = raw.withColumn("rid", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":"), F.col("hex")))
-    heads = raw.where(F.col("payload_bytes") >= min_bytes).select("rid", "hex", "page_id")
-    copies = heads.groupBy("hex").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
-    shared = heads.join(copies, "hex").select("rid", "first").groupBy("rid").agg(F.min("first").alias("first"), F.lit(True).alias("shared"))
-    turn = F.row_number().over(Window.partitionBy("rid").orderBy("url"))
-    found = raw.join(shared, "rid", "left").withColumn("turn", turn)
-    original = F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("turn") == 1))
+    heads = raw.where(F.col("payload_bytes") >= min_bytes).select("rid", "salt", "hex", "page_id")
+    copies = heads.groupBy("hex").agg(F.count("*").alias("n"), F.min("page_id").alias("first"), F.min("salt").alias("low")).where("n > 1")
+    shared = heads.join(copies, "hex").groupBy("rid", "salt").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.lit(True).alias("shared"))
+    turn = F.col("salt") * (1 << 32) + F.row_number().over(Window.partitionBy("rid", "salt").orderBy("url"))
+    size = raw.agg(F.sum("payload_bytes")).first()[0] or 0
+    files = max(shuffle_partitions(pages.sparkSession), -(-size // ARCHIVE_BYTES))
+    found = raw.repartition(files, "rid", "salt").join(shared, ["rid", "salt"], "left").withColumn("turn", turn)
+    lowest = F.when(F.col("first").isNull(), F.col("salt") == F.col("low")).otherwise(F.lit(True))
+    original = F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & lowest & (F.col("turn") % (1 << 32) == 1))
     return found.select(
         "page_id", "url", "html", "payload_bytes", base32(F.col("hex")).alias("payload_digest"), "rid", "turn",
         F.when(original, "response").otherwise("revisit").alias("record_type"),
