@@ -285,3 +285,31 @@ def geohash(lat: Column, lon: Column, precision: int = 6) -> Column:
             value = value * 2 + F.shiftright(source, n - 1 - i // 2).bitwiseAND(1)
         out.append(F.substring(F.lit(_GEO32), (value + 1).cast("int"), F.lit(1)))
     return F.concat(*out)
+
+
+def field_kinds(schema) -> dict[str, str]:
+    """How each field can be looked up: numeric, string, tags (lists of strings), geo (structs of lat and lon), boolean,
+    time, nested or other; fields of structs by their paths."""
+    out: dict[str, str] = {}
+    for f in schema.fields:
+        kind, name = f.dataType, f.dataType.typeName()
+        if name == "struct":
+            inner = {x.name for x in kind.fields}
+            if {"lat", "lon"} <= inner:
+                out[f.name] = "geo"
+            else:
+                out[f.name] = "nested"
+                out |= {f"{f.name}.{k}": v for k, v in field_kinds(kind).items()}
+        elif name == "array":
+            out[f.name] = "tags" if kind.elementType.typeName() == "string" else "other"
+        elif name in ("byte", "short", "integer", "long", "float", "double") or name.startswith("decimal"):
+            out[f.name] = "numeric"
+        else:
+            out[f.name] = {"string": "string", "boolean": "boolean", "timestamp": "time", "timestamp_ntz": "time", "date": "time"}.get(name, "other")
+    return out
+
+
+def tags_equal(column: Column, tags: list[str]) -> Column:
+    """Whether a list holds just these tags, in any order and case."""
+    low = F.array_distinct(F.transform(column, F.lower))
+    return F.array_sort(low) == F.array(*[F.lit(t) for t in sorted({t.lower() for t in tags})]).cast("array<string>")

@@ -272,3 +272,21 @@ def heading_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000
         return texts.map(lambda t: [{"heading": h, "level": n, "chunk": c} for h, n, c in split_headings(t, size, overlap)] if t else [])
 
     return docs.select(id_col, F.posexplode(run(F.col(text_col))).alias("position", "s")).select(id_col, "position", "s.*")
+
+
+# ---------------------------------------------------------------- vectors and triplets out of text
+def hash_vector(text: Column, size: int) -> Column:
+    """A vector of unit length that depends on the text alone, for tests without a model: part i is the first eight hex
+    digits of md5(text:i), from -1 to 1. Null for null."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(F.md5(F.concat(text, F.lit(":"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2147483647.5 - 1)
+    length = F.sqrt(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when(text.isNotNull(), F.transform(parts, lambda x: x / length))
+
+
+def triplets(text: Column) -> Column:
+    """Structs (head, relation, tail) of relation markup: <triplet> head <subj> relation <obj> tail, repeated; incomplete
+    ones are left out."""
+    clean = F.regexp_replace(text, r"</?s>|<pad>", "")
+    found = F.filter(F.split(clean, "<triplet>"), lambda x: x.rlike(r"(?s)^[^<]*\S[^<]*<subj>[^<]*\S[^<]*<obj>[^<]*\S"))
+    part = lambda x, pattern: F.trim(F.regexp_extract(x, pattern, 1))
+    return F.transform(found, lambda x: F.struct(part(x, r"^([^<]*)<subj>").alias("head"), part(x, r"<subj>([^<]*)<obj>").alias("relation"), part(x, r"<obj>([^<]*)").alias("tail")))

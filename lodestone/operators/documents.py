@@ -75,3 +75,22 @@ def find_section(nodes: DataFrame, title: str, id_col: str = "doc_id") -> DataFr
     """The first section of each document with this title, in any case."""
     by = Window.partitionBy(id_col).orderBy("position")
     return nodes.where(F.lower("title") == title.lower()).withColumn("r", F.row_number().over(by)).where("r = 1").drop("r")
+
+
+def catalogue(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents of a table of tree nodes: id, number of nodes, and of top nodes."""
+    return nodes.groupBy(id_col).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("parent").isNull()).alias("n_top"))
+
+
+def exists(nodes: DataFrame, key, id_col: str = "doc_id") -> bool:
+    return not nodes.where(F.col(id_col) == F.lit(key)).isEmpty()
+
+
+def delete(nodes: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """nodes without the documents listed in ids."""
+    return nodes.join(ids.select(id_col), id_col, "left_anti")
+
+
+def children(nodes: DataFrame, parents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Nodes whose parent is among parents (id, position)."""
+    return nodes.join(parents.select(id_col, F.col("position").alias("parent")), [id_col, "parent"], "left_semi")

@@ -531,6 +531,43 @@ def search_enterprise_facets(spark, d):
     return _enterprise(spark, d)[1]
 
 
+@register("text_vectors", "WITH p AS (SELECT doc_id, list_transform(range(8), lambda i: CAST(CAST('0x' || substr(md5(text || ':' || i), 1, 8) AS BIGINT) AS DOUBLE) / 2147483647.5 - 1) AS v FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS last FROM p")
+def text_vectors(spark, d):
+    v = table(spark, d, "documents").where("text is not null").select("doc_id", X.hash_vector(F.col("text"), 8).alias("v"))
+    return v.select("doc_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[7], 6).alias("last"))
+
+
+@register("relation_triplets", "SELECT n_nationkey, n_name AS head, 'part of' AS relation, r_name AS tail FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT n_nationkey, r_name, 'has part', n_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def relation_triplets(spark, d):
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    markup = F.concat(F.lit("<s><triplet> "), "n_name", F.lit(" <subj> part of <obj> "), "r_name", F.lit(" <triplet>"), "r_name", F.lit("<subj>has part<obj>"), "n_name", F.lit(" <triplet> cut <subj> off</s>"))
+    return both.select("n_nationkey", F.explode(X.triplets(markup)).alias("t")).select("n_nationkey", "t.*")
+
+
+@register("document_catalogue", "SELECT doc_id, len(string_split(text, chr(10))) AS n_nodes, CAST(ceil(len(string_split(text, chr(10))) / 3) AS BIGINT) AS n_top FROM documents")
+def document_catalogue(spark, d):
+    return D.catalogue(D.sections(headed(spark, d)))
+
+
+@register("sync_collections", "SELECT * FROM (VALUES ('broken', 0::BIGINT, 0::BIGINT, 0::BIGINT, true), ('new', (SELECT count(*) FROM nation), 0, 0, false), ('orders', (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0), (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0), (SELECT count(*) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0), false)) t(name, added, updated, removed, failed)")
+def sync_collections(spark, d):
+    every = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.lit(1).alias("updated_at"))
+    fresh = every.where("id % 7 <> 0 or id % 5 = 0").withColumn("updated_at", F.when(F.col("id") % 4 == 0, 2).otherwise(1))
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit(1).alias("updated_at"))
+    report = M.sync_all({"orders": fresh, "new": nation, "broken": nation.select("id")}, {"orders": every.where("id % 5 <> 0"), "broken": nation})[1]
+    return report.select("name", "added", "updated", "removed", F.col("error").isNotNull().alias("failed"))
+
+
+@register("knn_inverted_file", f"WITH {V_SQL}, {Q_SQL} SELECT id, round(list_cosine_similarity(v, q), 6) AS score FROM v, q ORDER BY score DESC, id LIMIT 10")
+def knn_inverted_file(spark, d):
+    """All cells probed: the same rows as exact search (recall at fewer probes is tested on its own)."""
+    from lodestone.operators.ann import Cells
+
+    p = vectors(spark, d)
+    cells = Cells.fit(p, 16)
+    return cells.search(cells.index(p), vector_of(spark, d, 0), 10, probes=16).select("id", "score")
+
+
 # ---------------------------------------------------------------- aggregates
 @register("facet_counts", "WITH c AS (SELECT source AS value, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 2), s AS (SELECT * FROM c ORDER BY n DESC, value LIMIT 5) SELECT value, n, (SELECT sum(n)::BIGINT FROM c) AS total, ((SELECT sum(n) FROM c) - (SELECT sum(n) FROM s))::BIGINT AS other FROM s")
 def facet_counts(spark, d):

@@ -58,6 +58,27 @@ def sync_changes(source: DataFrame, target: DataFrame, since=None, id_col: str =
     return upsert(target, latest(source.where(F.col(stamp) > F.lit(since)) if since is not None else source, id_col, stamp), id_col)
 
 
+def sync_all(sources: dict[str, DataFrame], targets: dict[str, DataFrame], id_col: str = "id", stamp: str = "updated_at") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Full synchronization of several collections: each target becomes its source's latest rows. Gives the new targets,
+    and a report (name, added, updated, removed, error); a collection that fails keeps its target and says why."""
+    out, rows = dict(targets), []
+    spark = next(iter(sources.values())).sparkSession
+    for name, source in sources.items():
+        try:
+            fresh = latest(source, id_col, stamp)
+            old = targets.get(name)
+            if old is None:
+                rows.append((name, fresh.count(), 0, 0, None))
+            else:
+                both = fresh.select(id_col, F.col(stamp).alias("__n")).join(old.select(id_col, F.col(stamp).alias("__o")), id_col, "full_outer")
+                r = both.agg(F.count_if(F.col("__o").isNull()).alias("a"), F.count_if(F.col("__n") > F.col("__o")).alias("u"), F.count_if(F.col("__n").isNull()).alias("d")).first()
+                rows.append((name, r.a, r.u, r.d, None))
+            out[name] = fresh
+        except Exception as failure:  # one collection's failure does not stop the others
+            rows.append((name, 0, 0, 0, str(failure).splitlines()[0][:200]))
+    return out, spark.createDataFrame(rows, "name string, added long, updated long, removed long, error string")
+
+
 def apply_changes(target: DataFrame, changes: DataFrame, id_col: str = "id", order: str = "seq", op: str = "op") -> DataFrame:
     """Change capture: the last change of each id wins; op delete removes it, all others upsert it."""
     last = latest(changes, id_col, order)

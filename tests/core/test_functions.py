@@ -280,3 +280,41 @@ def test_windowed_stream(spark, tmp_path):
     events = M.file_stream(spark, src, "ts timestamp, value double")
     M.windowed_metrics(events).writeStream.outputMode("complete").format("memory").queryName("wm").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.n for r in spark.sql("SELECT n FROM wm").collect()) == [1, 2]
+
+
+def test_inverted_file_recall(spark):
+    from lodestone.operators import ann
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(scale=0.4, size=(4000, 16))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [1.0])], "id long, vector array<double>").cache()
+    cells = ann.Cells.fit(points.where("id < 9000"), 32)
+    indexed = cells.index(points).cache()
+    assert indexed.count() == 4002 and indexed.where("cell is null").count() == 2
+    shares = []
+    for i in range(0, 4000, 500):
+        exact = S.vector_search(points, x[i].tolist(), 10)
+        shares.append(ann.recall(cells.search(indexed, x[i].tolist(), 10, probes=6), exact))
+    assert sum(shares) / len(shares) >= 0.9
+    assert ann.Cells.fit(points.limit(0), 4).search(indexed, x[0].tolist()).count() == 0
+
+
+def test_triplets_and_kinds(spark):
+    from lodestone.functions.filters import field_kinds, tags_equal
+
+    text = "<s><triplet> Ann <subj> works for <obj> Acme <triplet> x <subj> <obj> y <triplet>a<subj>b<obj>c</s>"
+    df = spark.createDataFrame([(text, ["B", "a"]), (None, None), ("plain", ["a"])], "t string, tags array<string>")
+    assert [[tuple(x) for x in r.x] if r.x is not None else None for r in df.select(X.triplets(F.col("t")).alias("x")).collect()] == [[("Ann", "works for", "Acme"), ("a", "b", "c")], None, []]
+    assert [r.e for r in df.select(tags_equal(F.col("tags"), ["A", "b"]).alias("e")).collect()] == [True, None, False]
+    kinds = field_kinds(spark.createDataFrame([], "n int, s string, t array<string>, g struct<lat double, lon double>, o struct<p struct<q date>, b boolean>").schema)
+    assert kinds == {"n": "numeric", "s": "string", "t": "tags", "g": "geo", "o": "nested", "o.p": "nested", "o.p.q": "time", "o.b": "boolean"}
+
+
+def test_document_catalogue(spark):
+    docs = spark.createDataFrame([(1, "# A\nx\n## B\ny\n# C\nz"), (2, "# D\nw")], "doc_id int, text string")
+    nodes = D.sections(docs)
+    assert {(r.doc_id, r.n_nodes, r.n_top) for r in D.catalogue(nodes).collect()} == {(1, 3, 2), (2, 1, 1)}
+    assert D.exists(nodes, 2) and not D.exists(D.delete(nodes, docs.where("doc_id = 2")), 2)
+    top = nodes.where("title = 'A'")
+    assert [r.title for r in D.children(nodes, top).collect()] == ["B"]
