@@ -48,6 +48,8 @@ def merge_metadata(points: DataFrame, changes: DataFrame, merge: bool = True, id
 
 
 def page(points: DataFrame, limit: int = 100, offset: int = 0, order: str = "id") -> DataFrame:
+    """A page in order of a column. Rows before it are sorted, too: pages far into a large table cost a sort of what
+    comes before them; ask for rows after the last seen key instead."""
     return points.orderBy(order).offset(offset).limit(limit)
 
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 
-#: Deepest section path.
-MAX_LEVELS = 12
-
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, position, text, summary): blocks between blank lines; blank ones keep their number but give no node."""
