@@ -55,6 +55,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- memory of Python workers
+def trim() -> None:
+    """Give memory that is free back to the system. Workers are kept for later tasks, and what the allocators hold would
+    count against the executor all that time."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if release is not None:
+        release(0)
+
+
+def tidy(run):
+    """A function of Arrow batches that trims memory when it ends."""
+
+    @functools.wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return outer
+
+
 # ---------------------------------------------------------------- Arrow text
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A text column as one byte array and n + 1 offsets; null counts as empty."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, cut, drop, mix, utf8, words
+from lodestone.llm.common import chunks, cut, drop, mix, tidy, utf8, words
 from lodestone.llm.components import components
 
 #: Largest chance that a pair exactly at the threshold shares no bucket.
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
                 sigs = [low[next(at)].tobytes() if n else None for n in sizes]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(sizes), pa.array(digests, pa.binary()), lists, pa.array(sigs, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>, sig binary")
+    return docs.mapInArrow(tidy(run), "id long, n_shingles long, digest binary, keys array<long>, sig binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +196,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, "node long, members binary")
+    return texts.mapInArrow(tidy(run), "node long, members binary")
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -216,7 +216,7 @@ def _alike(pairs: DataFrame, signed: DataFrame, hashes: int, percent: int) -> Da
 
     joined = pairs.join(signed.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     joined = joined.join(signed.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -237,4 +237,4 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
     joined = joined.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
-    return joined.select("a", "b", "ma", "mb").mapInArrow(run, "u long, v long")
+    return joined.select("a", "b", "ma", "mb").mapInArrow(tidy(run), "u long, v long")

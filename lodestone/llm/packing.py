@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, shuffle_partitions
+from lodestone.llm.common import cut, shuffle_partitions, tidy
 
 #: Width of a length class in tokens: classes round lengths up to a multiple of it.
 GRAIN = 8
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, path: str, id_col: str, text_col: str, size: int, en
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], schema=_PIECES)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+    return picked.mapInArrow(tidy(run), "id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
 
 
 # ---------------------------------------------------------------- linear program

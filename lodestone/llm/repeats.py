@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, mix, prefix_hash, shuffle_partitions, utf8
+from lodestone.llm.common import chunks, mix, prefix_hash, shuffle_partitions, tidy, utf8
 
 #: Length of a repeated string in bytes, and of an anchor.
 LENGTH = 50
@@ -353,13 +353,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = origin.select(F.col("origin").alias("id")).distinct().withColumn("first", F.lit(True))
     dealt = base.repartition(buckets, "id")
     unique = dealt.join(first.select("id"), "id")  # ids are distinct there; a semi join would go below the exchange
-    spread = unique.mapInArrow(_anchors(buckets, length, anchor), "bucket int, ids binary, sizes binary, keys binary, places binary")
-    shared = spread.repartition(buckets, "bucket").mapInArrow(_shared_anchors, "id long, places binary")
+    spread = unique.mapInArrow(tidy(_anchors(buckets, length, anchor)), "bucket int, ids binary, sizes binary, keys binary, places binary")
+    shared = spread.repartition(buckets, "bucket").mapInArrow(tidy(_shared_anchors), "id long, places binary")
     shared = shared.groupBy("id").agg(F.collect_list("places").alias("places"))
     segments = unique.join(shared, "id").select("id", "text", "places").mapInArrow(
-        _segments(buckets, length, anchor), "bucket int, id long, marks binary, ids binary, starts binary, sizes binary, bytes binary"
+        tidy(_segments(buckets, length, anchor)), "bucket int, id long, marks binary, ids binary, starts binary, sizes binary, bytes binary"
     )
-    marks = segments.repartition(buckets, "bucket").mapInArrow(_factors(length), "id long, marks binary")
+    marks = segments.repartition(buckets, "bucket").mapInArrow(tidy(_factors(length)), "id long, marks binary")
     marks = marks.groupBy("id").agg(F.collect_list("marks").alias("blobs"))
     found = dealt.join(first, "id", "left").join(marks, "id", "left").select("id", "text", "blobs", F.col("first").isNull().alias("whole"))
     return found.unionByName(every.where("id is null").select("id", "text", F.lit(None).cast("array<binary>").alias("blobs"), F.lit(False).alias("whole")))

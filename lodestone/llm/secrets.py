@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import CHUNK_BYTES, slices, tidy
+
 KINDS = ("assign", "access", "hex", "lexed")
 
 
@@ -215,7 +217,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidy(run), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -234,8 +236,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         return "".join(out) + text[last:] if last else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = pa.array([clean(x.as_py()) for x in batch.column(at)], batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], names=batch.schema.names)
+        for whole in batches:
+            for batch in slices(whole, text_col, 4 * CHUNK_BYTES):  # what goes out is small, too
+                column = pa.array([clean(x.as_py()) for x in batch.column(at)], batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], column, *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

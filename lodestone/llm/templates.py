@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, mix, powers
+from lodestone.llm.common import CHUNK_BYTES, mix, powers, slices, tidy
 
 #: Tokens of a window, ordinary words it needs, share of an item's windows that links a document.
 WINDOW = 8
@@ -171,12 +171,11 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int]
         if keep is not None:
             sieve = np.zeros(1 << 22, bool)
             sieve[(keep & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            data, offsets = code_points(batch.column("text"))
-            for lo, hi in chunks(offsets):
-                part = data[offsets[lo] : offsets[hi]]
-                starts, ends, code, at, plain = tokens(part, offsets[lo : hi + 1] - offsets[lo])
+        for whole in batches:
+            for batch in slices(whole, "text", CHUNK_BYTES):
+                ids = batch.column("id").to_numpy()
+                part, offsets = code_points(batch.column("text"))
+                starts, ends, code, at, plain = tokens(part, offsets)
                 sizes = np.diff(at)
                 for width in widths or sorted({int(min(s, WINDOW)) for s in sizes if s}):
                     for verbatim in (False, True):
@@ -196,10 +195,10 @@ def window_rows(table: DataFrame, id_col: str, text_col: str, widths: list[int]
                         slots = [None] * len(first)
                         if not verbatim:
                             slots = [[part[starts[i] : ends[i]].tobytes().decode("utf-32-le", "replace").lower() for i in range(f, f + width) if code[i] <= _NAME] for f in first.tolist()]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text]), pa.array(hashed.view(np.int64)), pa.array(first - at[text]), pa.array(slots, pa.list_(pa.string()))], schema=_ROWS)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(hashed.view(np.int64)), pa.array(first - at[text]), pa.array(slots, pa.list_(pa.string()))], schema=_ROWS)
 
     picked = table.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, _ROWS_DDL)
+    return picked.mapInArrow(tidy(run), _ROWS_DDL)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = COVER) -> DataFrame:
@@ -241,7 +240,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = code_points(batch.column("text"))
-        sizes = np.diff(tokens(data, offsets)[3])
+    for whole in batches:
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(tokens(*code_points(b.column("text")))[3]) for b in slices(whole, "text", CHUNK_BYTES))])
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(sizes[sizes > 0], WINDOW)).astype(np.int32))], names=["w"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import pack, pack_strings, shuffle_partitions, slices, unpack, unpack_strings
+from lodestone.llm.common import pack, pack_strings, shuffle_partitions, slices, tidy, unpack, unpack_strings
 
 #: Text of a batch in bytes. Larger batches name a shared pre-token fewer times.
 BATCH_BYTES = 12_000_000
@@ -217,8 +217,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             total = base + np.bincount(doc, weights=pieces[which] * often, minlength=len(named)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(unpack(head["a"]), pa.int64(), mask=unpack(head["e"]).astype(bool)), pa.array(sizes), pa.array(total)], schema=out)
 
-    parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(split, _PARTS_DDL)
-    answered = parts.repartition(buckets, "route").mapInArrow(answer, _PARTS_DDL)
-    counted = answered.repartition(buckets, "batch").sortWithinPartitions("batch").mapInArrow(add_up, "id long, n_bytes long, n_tokens long")
+    parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(split), _PARTS_DDL)
+    answered = parts.repartition(buckets, "route").mapInArrow(tidy(answer), _PARTS_DDL)
+    counted = answered.repartition(buckets, "batch").sortWithinPartitions("batch").mapInArrow(tidy(add_up), "id long, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import chunks, cut, drop, mix, prefix_hash, utf8
+from lodestone.llm.common import CHUNK_BYTES, chunks, cut, drop, mix, prefix_hash, slices, tidy, trim, utf8
 
 #: Labelled examples of each class at most, and marks at most.
 EXAMPLES = 3000
@@ -55,9 +55,10 @@ STEMS = (4, 5, 6)
 REPEATS = 3
 #: Digits of a cosine.
 DIGITS = 6
-#: Documents that are scored at a time. Terms in at least this share of the examples are common, but for the rarest
+#: Documents that are scored at a time, and whose postings are read at a time. Terms in at least this share of the examples are common, but for the rarest
 #: beyond COMMON_TERMS.
 TOGETHER = 128
+ROWS = 32
 COMMON = 0.04
 COMMON_TERMS = 1024
 
@@ -92,10 +93,10 @@ class Words:
 def words_of(column: pa.Array) -> Iterator[Words]:
     """The words of a text column, in parts of rows."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    low = pc.utf8_lower(column.fill_null(""))
-    data, offsets = utf8(pc.replace_substring_regex(low, pattern=r"[^\pL]+", replacement=" "))
-    for lo, hi in chunks(offsets):
-        part, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])):
+        low = pc.utf8_lower(column.slice(lo, hi - lo).fill_null(""))
+        part, at = utf8(pc.replace_substring_regex(low, pattern=r"[^\pL]+", replacement=" "))
         n = len(part)
         edge = np.zeros(n + 1, bool)
         edge[at] = True
@@ -274,17 +275,20 @@ class Index:
         score = (wide @ self.matrix()).astype(float)
         term, q, owner = term[~thick], q[~thick], owner[~thick]
         pairs, which = _ranges(self.first[term], self.first[term + 1])
-        w, spot = q.astype(np.float32)[which], (owner * blocks).astype(np.int32)[which] + self.block[pairs]
+        row_of = owner[which]
+        w, spot = q.astype(np.float32)[which], row_of * blocks + self.block[pairs]
+        cuts = np.searchsorted(row_of, np.arange(0, n + ROWS, ROWS)).tolist()
         bound = np.bincount(spot, w * self.most[pairs], n * blocks).reshape(n, blocks).astype(float)  # of whole numbers if empty
         bound += np.maximum.reduceat(score, np.arange(0, size, BLOCK), axis=1)
 
         def add(wanted: np.ndarray) -> None:
             """Postings of the wanted blocks of each text."""
-            some = np.flatnonzero(wanted.ravel()[spot])
-            p = pairs[some]
-            postings, of = _ranges(self.start[p], self.start[p + 1])
-            to = (owner * size).astype(np.int32)[which[some]]
-            score.ravel()[:] += np.bincount(to[of] + self.members[postings], w[some][of] * self.values[postings], n * size)
+            keep = wanted.ravel()[spot]
+            for top, lo, hi in zip(range(0, n, ROWS), cuts, cuts[1:]):  # a few texts at a time: small arrays
+                some = lo + np.flatnonzero(keep[lo:hi])
+                postings, of = _ranges(self.start[pairs[some]], self.start[pairs[some] + 1])
+                part = score[top : top + ROWS].reshape(-1)
+                part += np.bincount(((row_of[some] - top) * size)[of] + self.members[postings], w[some][of] * self.values[postings], len(part))
 
         def kth() -> np.ndarray:
             return np.partition(score, size - k, axis=1)[:, size - k] if size > k else np.zeros(n)
@@ -385,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         drop(docs.sparkSession, files)
         return Index.build(Vocabulary.of(none.astype(np.uint64), []), np.empty(0), {}, rate, none, none, np.empty(0), none, none, none)
 
-    found = sample.select("text", "y").mapInArrow(_statistics, "base long, bytes int, times int, n0 long, n1 long, name string")
+    found = sample.select("text", "y").mapInArrow(tidy(_statistics), "base long, bytes int, times int, n0 long, n1 long, name string")
     found = found.groupBy("base", "bytes", "times").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("name").alias("name"))
     a, b = float(sizes[0]), float(sizes[1])
     whole = F.col("n0") + F.col("n1")
@@ -421,7 +425,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (term, tf)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(p.lo, p.n), batch.column("y").slice(p.lo, p.n), *lists], names=["id", "y", "t", "n"])
 
-    rows = sample.mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").toArrow().combine_chunks()  # at most 2 * EXAMPLES
+    rows = sample.mapInArrow(tidy(vectors), "id long, y int, t array<int>, n array<int>").toArrow().combine_chunks()  # at most 2 * EXAMPLES
     drop(docs.sparkSession, files)
     ids, y = rows.column("id").to_numpy(), rows.column("y").to_numpy()
     order = np.lexsort((y, ids))
@@ -451,7 +455,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> tuple
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"t": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(seen[at], n), pa.int64())})
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "t long, n long")
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "t long, n long")
     found = parts.groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each term
     shared.unpersist()
     t, n = found.column("t").to_numpy(), found.column("n").to_numpy()
@@ -473,7 +477,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
                 at += len(score)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = picked.mapInArrow(run, "id long, score double, evidence array<long>, found array<string>")
+    scored = picked.mapInArrow(tidy(run), "id long, score double, evidence array<long>, found array<string>")
     held = F.coalesce(fold(F.col("id")) == 0, F.lit(False))
     return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "found")
 
@@ -484,9 +488,10 @@ def keep_civil(docs: DataFrame, index: Index, text_col: str = "text") -> DataFra
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole, text_col, 4 * CHUNK_BYTES):  # what goes out is small, too
                 score = np.concatenate([s for s, _, _ in shared.value.scores(batch.column(at).cast(pa.string()))])
                 yield batch.filter(pa.array(score < 0.5))
+            trim()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
