@@ -11,7 +11,8 @@ documents that the stage before kept. All but the last return the columns of doc
 4. secrets: found spans are replaced by a mark; no document goes, n_chars follows the text.
 5. packing: what is left becomes pieces in sequences of 2048 tokens.
 
-run() writes every stage to the shared folder and reads it back, so a lost executor costs one stage at most.
+run() writes every stage to the shared folder and reads it back, so a lost executor costs one stage at most; a stage's
+rows are removed when the next stage's are written.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, drop
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.secrets import redact
@@ -88,7 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        written: list[str] = []
+        docs = cut(stage(spark, docs, sf_dir), written)
+        drop(spark, before)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
