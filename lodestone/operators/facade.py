@@ -95,7 +95,7 @@ class Collection:
     def search(self, query: str | None = None, vector=None, limit: int = 10, mode: str = "hybrid", where=None, principals: list[str] | None = None, rerank: str | None = None, diversity: float = 0.7, threshold: float | None = None, pool: int | None = None) -> DataFrame:
         """(id, score), best first.
 
-        dense: nearest vectors. sparse: BM25 over all documents' statistics. hybrid: rank fusion of both over pool hits
+        dense: nearest vectors. sparse: BM25 over the statistics of all points with a text. hybrid: rank fusion of both over pool hits
         each (five times the limit, 50 at least). ultimate: hybrid, blended with late interaction where there are token
         vectors, then by marginal relevance. graph: ultimate, fused with the graph's hits. rerank applies to dense and
         sparse hits.
@@ -112,7 +112,7 @@ class Collection:
         def sparse(k: int) -> DataFrame:
             if not query:
                 raise ValueError("keyword search needs a query")
-            return search.bm25(self.points, query_terms(query), k, within=rows).select("id", "score")
+            return search.bm25(self.points.where("text is not null"), query_terms(query), k, within=rows).select("id", "score")
 
         if mode in ("dense", "sparse"):
             hits = (dense if mode == "dense" else sparse)(wide if rerank else limit)
