@@ -6,9 +6,15 @@ Entities are (id, name, type, description, aliases, importance), edges (src, dst
 from __future__ import annotations
 
 import difflib
+import functools
+import itertools
+import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +70,14 @@ def extract_entities(units: DataFrame, unit_col: str = "unit", text_col: str = "
     return names.where(valid).select(unit_col, "position", name.alias("name"), kind.alias("type"))
 
 
+def entity_ids(units: DataFrame, text_col: str = "text", shortest: int = 2, longest: int = 100) -> DataFrame:
+    """(id): the entities of merge_entities(extract_entities(...)); runs are made distinct before they are looked at."""
+    runs = units.select(F.explode_outer(F.regexp_extract_all(text_col, F.lit(NAME), F.lit(0))).alias("raw")).where("raw is not null")
+    name = F.regexp_replace("raw", r"\s+", " ")
+    valid = (F.length(name) >= shortest) & (F.length(name) <= longest) & ~F.lower(name).isin(*NO_ENTITIES)
+    return persist(runs.distinct()).where(valid).select(entity_key(name).alias("id")).distinct()
+
+
 def relation_type(a: Column, b: Column) -> Column:
     """The type of a relation between entities of two types."""
 
@@ -119,36 +133,202 @@ def remap(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+#: Kept subsequences of a name on average and of one name at most, longest names that are found by them, and
+#: subsequences of a part.
+VARIANTS = 200
+MOST = 10_000
+LONGEST = 60
+PART = 300_000
+
+
+def _alike(ratio: float):
+    @F.pandas_udf(T.BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        one, two = difflib.SequenceMatcher(None, "", ""), difflib.SequenceMatcher(None, "", "")
+        out, last = [], None
+        for x, y in zip(a, b):
+            if x != last:
+                one.set_seq2(x)
+                last = x
+            one.set_seq1(y)
+            good = one.ratio() >= ratio
+            if not good:
+                two.set_seqs(x, y)
+                good = two.ratio() >= ratio
+            out.append(good)
+        return pd.Series(out, dtype=bool)
+
+    return alike
+
+
+def _kept(n: int, ratio: float) -> range:
+    """How many characters a name of n can have in common with another that reaches the ratio: the other has no fewer."""
+    return range(max(1, math.ceil(n * ratio / (2 - ratio) - 1e-9)), n + 1)
+
+
+@functools.lru_cache(64)
+def _places(n: int, kept: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), kept)), np.int8)
+
+
+def _subsequences(ratio: float, parts: int):
+    """(part, keys, ids, sizes): hashes of the subsequences that names keep, dealt to parts. A key's last six bits are the
+    subsequence's length; the first bit of a size is the name's mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, ids, size = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            part = ((key >> np.uint64(6)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            key, ids, size, part = key[order], ids[order], size[order], part[order]
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(at[1:], len(part))
+            blobs = [pa.array([x[i:j].tobytes() for i, j in zip(at.tolist(), ends.tolist())], pa.binary()) for x in (key, ids, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), *blobs], names=["part", "keys", "ids", "sizes"])
+
+        for batch in batches:
+            names, n = batch.column("name").to_pylist(), batch.column("n").to_numpy()
+            number, marked = batch.column("id").to_numpy(), batch.column("marked").to_numpy(zero_copy_only=False)
+            for size in np.unique(n).tolist():
+                lengths = _kept(size, ratio)
+                rows = np.flatnonzero(n == size)
+                step = max(1, (1 << 20) // sum(math.comb(size, k) for k in lengths))
+                for lo in range(0, len(rows), step):
+                    some = rows[lo : lo + step]
+                    text = np.frombuffer("".join(names[i] for i in some.tolist()).encode("utf-32-le"), np.uint32).reshape(len(some), size).astype(np.uint64)
+                    marks = (size | marked[some].astype(np.uint8) << 7).astype(np.uint8)
+                    for kept in lengths:
+                        places = _places(size, kept)
+                        h = np.zeros((len(some), len(places)), np.uint64)
+                        for i in places.T:
+                            h += text[:, i] + np.uint64(1)
+                            h *= np.uint64(0xD1342543DE82EF95)
+                            h ^= h >> np.uint64(29)
+                        held.append(((h << np.uint64(6) | np.uint64(kept)).ravel(), np.repeat(number[some], len(places)), np.repeat(marks, len(places))))
+                    if sum(len(h[0]) for h in held) >= 1 << 20:
+                        yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _meetings(ratio: float, every: bool):
+    """(a, b): ids of names that keep the same subsequence, long enough for both: the shortest name with each other one,
+    or with every also each marked name with all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[tuple[bytes, bytes, bytes]] = []
+        for batch in batches:
+            blobs += zip(*(batch.column(c).to_pylist() for c in ("keys", "ids", "sizes")))
+        if not blobs:
+            return
+        key, ids, size = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*blobs), (np.uint64, np.int64, np.uint8)))
+        blobs.clear()
+        n = (size & 127).astype(np.int64)
+        order = np.lexsort((ids, n, key))
+        key, ids, n, marked = key[order], ids[order], n[order], size[order] > 127
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+        key, ids, n, marked = key[new], ids[new], n[new], marked[new]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(start, len(key)))
+        if every:
+            x = np.flatnonzero(marked)
+            group = np.searchsorted(start, x, side="right") - 1
+            first, many = start[group], count[group]
+        else:
+            x = start[count > 1]
+            first, many = x, count[count > 1]
+        step = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + (1 << 20), 1 << 20))
+        for lo, hi in zip(step, step[1:]):
+            m, at = many[lo : hi + 1], first[lo : hi + 1]
+            if not len(m):
+                continue
+            a = np.repeat(x[lo : hi + 1], m)
+            b = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(at, m)
+            good = (a != b) & (ratio * (n[a] + n[b]) <= 2 * (key[a] & np.uint64(63)).astype(np.int64) + 1e-9)
+            both = np.unique(np.stack([ids[a[good]], ids[b[good]]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _common_grams(named: DataFrame, ratio: float, limit: int) -> DataFrame:
+    """(a, b): ids of names, one longer than limit, that share one of their rarest runs of two or three characters.
+
+    M characters in common, in at most n + m - 2 M + 1 blocks, leave M - (q - 1) (n + m - 2 M + 1) common runs of q, so
+    one of those stands among the rarest of each name: as many as it can spare, and one.
+    """
+    n = F.col("n")
+    least = F.ceil(n * ratio / (2 - ratio) - 1e-9)
+    lowest = max(2, math.ceil((limit + 1) * ratio / (2 - ratio) - 1e-9))
+    q = 3 if (2.5 * ratio - 2) * (limit + 1 + lowest) > 2 else 2
+    total = n + F.when(n > limit, least).otherwise(F.greatest(least, F.lit(limit + 1)))
+    shared = F.greatest(F.lit(1), F.ceil(total * ((q - 0.5) * ratio - (q - 1)) - (q - 1) - 1e-9))
+    grams = named.where(n >= lowest).select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(1), n - (q - 1)), lambda i: F.substring(F.col("name"), i, F.lit(q)))).alias("i", "g"))
+    times = F.row_number().over(Window.partitionBy("id", "g").orderBy("i"))
+    grams = persist(grams.select("id", "n", F.concat("g", times.cast("string")).alias("g")))
+    often = grams.groupBy("g").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "g"))
+    rare = persist(grams.join(often, "g").withColumn("place", place).where(F.col("place") <= n - q + 1 - shared + 1).select("id", "n", "g"))
+    a = rare.where(n > limit).select("g", F.col("id").alias("a"), F.col("n").alias("an"))
+    b = rare.select("g", F.col("id").alias("b"), F.col("n").alias("bn"))
+    near = a.join(b, "g").where((F.col("bn") <= limit) | (F.col("a") < F.col("b"))).where(2 * F.least("an", "bn") >= ratio * (F.col("an") + F.col("bn")) - 1e-9).select("a", "b").distinct()
+    x, y = named.select(F.col("id").alias("a"), F.col("name").alias("x")), named.select(F.col("id").alias("b"), F.col("name").alias("y"))
+    # M characters in common order leave at most n + m - 2 M to insert and delete
+    return near.join(x, "a").join(y, "b").where(F.levenshtein("x", "y") <= F.floor((1 - ratio) * (F.length("x") + F.length("y")) + 1e-9)).select("a", "b")
 
 
 def resolve_names(entities: DataFrame, ratio: float = 0.85) -> DataFrame:
     """(old, new): names whose matching blocks hold as great a share of both as ratio (at least 0.75), mapped to the
     smallest id of their component. A pair counts if either order of it reaches the ratio.
 
-    Candidates are exact. Names of lengths n and m that reach the ratio match in M >= ratio * (n + m) / 2 characters,
-    in at most n + m - 2 M + 1 blocks, so they share 3 M - n - m - 1 pairs of neighbouring characters, and one of
-    those stands among the rarest of each name: as many as it can spare, and one.
+    Candidates are exact. Names of lengths n and m that reach the ratio have M >= ratio * (n + m) / 2 characters in
+    common order: they keep the same subsequence of M characters. Names meet by all subsequences that they can keep, as
+    long as these are at most VARIANTS a name; longer names by rare runs of characters (_common_grams). Of names that
+    keep the same one, each is compared with the shortest; where that fails, with all of them. So every pair that
+    reaches the ratio is compared, or both of it are linked with a third.
     """
     if ratio < 0.75:
         raise ValueError("ratios below 0.75 leave no common pair of characters to find names by")
-    named = entities.select("id", F.length("id").alias("n")).distinct().where("n > 1")
-    grams = named.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.substring(F.col("id"), i, F.lit(2)))).alias("g"))
-    times = F.row_number().over(Window.partitionBy("id", "g").orderBy("n"))
-    grams = grams.withColumn("g", F.concat("g", times.cast("string")))
-    often = grams.groupBy("g").agg(F.count("*").alias("f"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "g"))
-    shortest = F.ceil(F.col("n") * ratio / (2 - ratio) - 1e-9)
-    shared = F.greatest(F.lit(1), F.ceil((F.col("n") + shortest) * (1.5 * ratio - 1) - 1 - 1e-9))
-    rare = grams.join(often, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - 1 - shared + 1).select("id", "n", "g")
-    a, b = rare.select("g", F.col("id").alias("a"), F.col("n").alias("an")), rare.select("g", F.col("id").alias("b"), F.col("n").alias("bn"))
-    near = a.join(b, "g").where(F.col("a") < F.col("b")).where(2 * F.least("an", "bn") >= ratio * (F.col("an") + F.col("bn")) - 1e-9).select("a", "b").distinct()
-    # M characters in common order leave at most n + m - 2 M to insert and delete
-    near = near.where(F.levenshtein("a", "b") <= F.floor((1 - ratio) * (F.length("a") + F.length("b")) + 1e-9))
-    alike = near.where(F.greatest(_sequence_ratio("a", "b"), _sequence_ratio("b", "a")) >= ratio)
-    return components(alike.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    spark = entities.sparkSession
+    named = entities.select(F.col("id").alias("name")).distinct().withColumn("n", F.length("name")).where("n > 1")
+    named = persist(named.withColumn("id", F.monotonically_increasing_id()))
+    total, keys, limit, lengths = 0, 0, 1, {r.n: r["count"] for r in named.groupBy("n").count().collect()}
+    everyone = sum(lengths.values())
+    for n in range(2, min(LONGEST, max(lengths, default=0)) + 1):
+        each = sum(math.comb(n, k) for k in _kept(n, ratio))
+        total += lengths.get(n, 0) * each
+        if total > VARIANTS * everyone or each > MOST:
+            break
+        keys, limit = total, n
+    parts = keys // PART + 1
+
+    def meet(names: DataFrame, every: bool) -> DataFrame:
+        short = names.where(F.col("n") <= limit).select("id", "name", "n", "marked").repartition(spark.sparkContext.defaultParallelism)
+        dealt = short.mapInArrow(_subsequences(ratio, parts), "part int, keys binary, ids binary, sizes binary")
+        return dealt.repartition(parts, "part").mapInArrow(_meetings(ratio, every), "a long, b long").distinct()
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        x, y = named.select(F.col("id").alias("a"), F.col("name").alias("x")), named.select(F.col("id").alias("b"), F.col("name").alias("y"))
+        dealt = pairs.join(x, "a").join(y, "b").repartition(max(parts, 4 * spark.sparkContext.defaultParallelism), "x")
+        return persist(dealt.sortWithinPartitions("x").select("a", "b", _alike(ratio)("x", "y").alias("alike")))
+
+    checked = compare(meet(named.withColumn("marked", F.lit(False)), False))
+    links = checked.where("alike").select("a", "b")
+    failed = persist(checked.where("not alike").select(F.col("b").alias("id")).distinct())
+    if not failed.isEmpty():
+        marked = named.join(failed.withColumn("m", F.lit(True)), "id", "left").withColumn("marked", F.coalesce("m", F.lit(False)))
+        links = links.unionByName(compare(meet(marked, True)).where("alike").select("a", "b"))
+    if limit < max(lengths, default=0):
+        links = links.unionByName(compare(_common_grams(named, ratio, limit)).where("alike").select("a", "b"))
+    found = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).join(named.select(F.col("id").alias("node"), "name"), "node")
+    found = persist(found)
+    least = found.groupBy("component").agg(F.min("name").alias("new"))
+    return found.join(least, "component").select(F.col("name").alias("old"), "new")
 
 
 # ---------------------------------------------------------------- traversal

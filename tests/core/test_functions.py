@@ -223,6 +223,47 @@ def test_resolve_names_meets_all_pairs(spark):
     assert {(r.old, r.new) for r in G.resolve_names(e).collect()} == want and ("enderson", "anderson") in want
 
 
+@pytest.mark.parametrize("variants", [200, 20, 0])
+def test_resolve_names_compares_few_pairs(spark, monkeypatch, variants):
+    """Names made of few parts share all their pairs of characters; names beyond the limit on subsequences count as well."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng, parts = random.Random(3), ["th", "er", "on", "an", "re", "he", "ti", "es"]
+    names = {"".join(rng.choice(parts) for _ in range(rng.choice([3, 4, 5, 6, 8, 11, 20]))) for _ in range(330)}
+    for name in sorted(names)[::3]:
+        at = rng.randrange(len(name))
+        names.add(name[:at] + rng.choice(["", "q", "\u00e9", "\U0001f600"]) + name[at + 1 :])
+    group = {n: n for n in names}
+    pairs = [(a, b) for a in names for b in names if a < b and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.85]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
+    compared, persist = [], G.persist
+
+    def watch(df):
+        out = persist(df)
+        if "alike" in out.columns:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "persist", watch)
+    monkeypatch.setattr(G, "VARIANTS", variants)
+    e = spark.createDataFrame([(n,) for n in names], "id string")
+    assert {(r.old, r.new) for r in G.resolve_names(e).collect()} == {(n, group[n]) for pair in pairs for n in pair}
+    assert compared and (sum(compared) < 6 * len(names) or variants < 200)
+
+
+def test_entity_ids(spark):
+    units = spark.createDataFrame([(1, "The Big\nOak and Big  Oak He X Ann"), (2, None), (3, ""), (4, "no names")], "unit int, text string")
+    assert {r.id for r in G.entity_ids(units).collect()} == {r.id for r in G.merge_entities(G.extract_entities(units)).collect()}
+    assert {r.id for r in G.entity_ids(units).collect()} >= {"the big oak", "ann"}
+
+
 def test_sections(spark):
     docs = spark.createDataFrame([(1, "intro\n# A\nx\n## B\ny\n# C\nz"), (2, "")], "doc_id int, text string")
     nodes = D.sections(docs).orderBy("position").collect()
