@@ -61,6 +61,8 @@ TOGETHER = 128
 ROWS = 32
 COMMON = 0.04
 COMMON_TERMS = 1024
+#: Bytes of text whose words are found at once in scoring: about as many documents as are scored at a time.
+PIECE = CHUNK_BYTES // 4
 
 
 def fold(id_col: Column) -> Column:
@@ -90,11 +92,11 @@ class Words:
         return long, mix((self.sums[a + size] - self.sums[a]) * self.down[a] + np.uint64(size << 32))
 
 
-def words_of(column: pa.Array) -> Iterator[Words]:
-    """The words of a text column, in parts of rows."""
+def words_of(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Words]:
+    """The words of a text column, in parts of rows of about limit bytes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    for lo, hi in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])):
+    for lo, hi in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), limit):
         low = pc.utf8_lower(column.slice(lo, hi - lo).fill_null(""))
         part, at = utf8(pc.replace_substring_regex(low, pattern=r"[^\pL]+", replacement=" "))
         n = len(part)
@@ -253,7 +255,7 @@ class Index:
         """Common terms by examples, dense; made once where it is used."""
         if "matrix" not in self.made:
             out = np.zeros((int(self.common.max(initial=-1)) + 1, len(self.ids)), np.float32)
-            term = np.repeat(np.arange(len(self.first) - 1), self.start[self.first[1:]] - self.start[self.first[:-1]])
+            term = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), self.start[self.first[1:]] - self.start[self.first[:-1]])
             row = self.common[term]
             out[row[row >= 0], self.members[row >= 0]] = self.values[row >= 0]
             self.made["matrix"] = out
@@ -311,7 +313,7 @@ class Index:
 
     def scores(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list[list[int]], list[list[str]]]]:
         """Score, ids of the nearest examples and marks found, for the texts of a column, in parts of rows."""
-        for part in words_of(column):
+        for part in words_of(column, PIECE):
             owner, term, tf = self.vocabulary.vectors(part)
             for lo in range(0, part.n, TOGETHER):
                 n = min(TOGETHER, part.n - lo)

@@ -773,3 +773,27 @@ def test_registered():
 
     names = set(entry.queries())
     assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} <= {*(re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)), "pipeline"}
+
+
+def test_toxicity_scores_in_little_memory():
+    import random
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.llm import toxicity as X
+
+    rng = random.Random(5)
+    texts = pa.array([" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)) for _ in range(900)])
+    part = next(X.words_of(texts.slice(0, 40)))
+    vocabulary = X.Vocabulary.of(np.unique(part.hashes), [])
+    owner, term, tf = vocabulary.vectors(part)
+    index = X.Index.build(vocabulary, np.ones(vocabulary.size), {}, 0.1, np.arange(40), np.arange(40) % 2, np.ones(40), owner, term, tf)
+    once = [float(s) for i in range(len(texts)) for out, _, _ in index.scores(texts.slice(i, 1)) for s in out]
+    tracemalloc.start()
+    scores = np.concatenate([s for s, _, _ in index.scores(texts)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(scores, once) and len(scores) == 900
+    assert peak < 24e6, peak
