@@ -11,6 +11,9 @@ documents that the stage before kept. All but the last return the columns of doc
 4. secrets: found spans are replaced by a mark; no document goes, n_chars follows the text.
 5. packing: what is left becomes pieces in sequences of 2048 tokens.
 
+Every stage has Arrow batches dealt out by bytes (common.small_batches); the setting stays with the session, as what a
+stage returns runs later.
+
 run() writes every stage to the shared folder and reads it back, so a lost executor costs one stage at most; a stage's
 rows are removed when the next stage's are written.
 """
@@ -23,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, drop
+from lodestone.llm.common import cut, drop, small_batches
 from lodestone.llm.minhash import near_duplicates
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.secrets import redact
@@ -34,6 +37,7 @@ from lodestone.llm.toxicity import fit, keep_civil
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. Each row by itself: null texts, repeated or null ids, further columns and
     empty tables change nothing about the others."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_civil(docs, fit(docs, labels, folds_left_out=False))
 
@@ -42,6 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays. Null, empty and wordless texts are in
     no group and stay, as do rows without an id; of rows that share id and text one stays; rows that share an id
     and differ in text are documents of their own."""
+    small_batches(spark)
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(digest).alias("a"), F.max(digest).alias("b")).where("n > 1")
     twice = cut(several.select("doc_id", (F.col("a") != F.col("b")).alias("differ")))
@@ -66,6 +71,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, whatever their id is, null included: they are known by a hash of their
     text. Null and empty texts, and empty tables, lose nothing."""
+    small_batches(spark)
     key = f"key_{uuid.uuid4().hex}"
     keyed = docs.withColumn(key, F.xxhash64("text"))
     linked = contaminated(keyed.select(F.col(key).alias("id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="id")
@@ -74,12 +80,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found spans are replaced by a mark; no row goes. Null texts stay null; n_chars follows the text where there is one."""
+    small_batches(spark)
     clean = redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens; a null text is an empty one, each row is a document."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

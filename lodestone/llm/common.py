@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once by the vectorised kernels, in bytes; a single longer text is one chunk.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker, about; a single longer row is one batch.
+BATCH_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------- shared folder
@@ -55,7 +57,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# ---------------------------------------------------------------- memory of Python workers
+# ---------------------------------------------------------------- memory of executors
+def small_batches(spark: SparkSession) -> None:
+    """Let the session deal rows to Python in batches of BATCH_BYTES, unless it was given a size of its own. Spark's batches
+    of up to 64 MB are held three times (in a worker, and on their way there in buffers that double as they fill), and the
+    executor's allocator keeps that for good."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def trim() -> None:
     """Give memory that is free back to the system. Workers are kept for later tasks, and what the allocators hold would
     count against the executor all that time."""

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import CHUNK_BYTES, chunks, cut, drop, mix, prefix_hash, slices, tidy, trim, utf8
+from lodestone.llm.common import CHUNK_BYTES, chunks, cut, drop, mix, prefix_hash, slices, small_batches, tidy, trim, utf8
 
 #: Labelled examples of each class at most, and marks at most.
 EXAMPLES = 3000
@@ -61,7 +61,7 @@ TOGETHER = 128
 ROWS = 32
 COMMON = 0.04
 COMMON_TERMS = 1024
-#: Bytes of text whose words are found at once in scoring: about as many documents as are scored at a time.
+#: Bytes of text whose words are found at once: about as many documents as are scored at a time.
 PIECE = CHUNK_BYTES // 4
 
 
@@ -92,7 +92,7 @@ class Words:
         return long, mix((self.sums[a + size] - self.sums[a]) * self.down[a] + np.uint64(size << 32))
 
 
-def words_of(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Words]:
+def words_of(column: pa.Array, limit: int = PIECE) -> Iterator[Words]:
     """The words of a text column, in parts of rows of about limit bytes."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -136,7 +136,7 @@ class Vocabulary:
         """words: hashes of the words that are terms; marks: (hash of the base, bytes of a beginning or 0, times)."""
         own = np.array([m[0] for m in marks], np.uint64)
         bases = np.unique(np.concatenate([words, own]))
-        term = np.full((len(bases), REPEATS), -1, np.int64)
+        term = np.full((len(bases), REPEATS), -1, np.int32)
         term[np.searchsorted(bases, words), 0] = 1
         for (_, _, times), at in zip(marks, np.searchsorted(bases, own)):
             term[at, times - 1] = 1
@@ -243,13 +243,13 @@ class Index:
         new[1:] = (term[1:] != term[:-1]) | (members[1:] // BLOCK != members[:-1] // BLOCK)
         start = np.flatnonzero(new)
         most = np.maximum.reduceat(values, start) if len(start) else values
-        first = np.searchsorted(term[start], np.arange(size + 1))
+        first = np.searchsorted(term[start], np.arange(size + 1)).astype(np.int32)
         often = np.bincount(term, minlength=size)
         top = np.argsort(-often, kind="stable")[:COMMON_TERMS]
         top = top[often[top] >= max(COMMON * n, 2)]
         common = np.full(size, -1, np.int32)
         common[top] = np.arange(len(top))
-        return cls(vocabulary, idf, marks, prior, ids[order], toxic[order].astype(float), weight[order], first, (members[start] // BLOCK).astype(np.int32), most.astype(np.float32), np.append(start, len(term)), members.astype(np.int32), values.astype(np.float32), common)
+        return cls(vocabulary, idf, marks, prior, ids[order], toxic[order].astype(float), weight[order], first, (members[start] // BLOCK).astype(np.int32), most.astype(np.float32), np.append(start, len(term)).astype(np.int32), members.astype(np.int32), values.astype(np.float32), common)
 
     def matrix(self) -> np.ndarray:
         """Common terms by examples, dense; made once where it is used."""
@@ -313,7 +313,7 @@ class Index:
 
     def scores(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list[list[int]], list[list[str]]]]:
         """Score, ids of the nearest examples and marks found, for the texts of a column, in parts of rows."""
-        for part in words_of(column, PIECE):
+        for part in words_of(column):
             owner, term, tf = self.vocabulary.vectors(part)
             for lo in range(0, part.n, TOGETHER):
                 n = min(TOGETHER, part.n - lo)
@@ -353,7 +353,7 @@ _SEEN = pa.schema([("base", pa.int64()), ("bytes", pa.int32()), ("times", pa.int
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of words and word beginnings, and of their further occurrences: examples of either class that hold them."""
     for batch in batches:
-        for part in words_of(batch.column("text")):
+        for part in words_of(batch.column("text"), CHUNK_BYTES):
             y = batch.column("y").slice(part.lo, part.n).to_numpy()
             for size in (0, *STEMS):
                 which, h = part.beginnings(size) if size else (np.arange(len(part.hashes)), part.hashes)
@@ -374,6 +374,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds_left_out: bool = True) -> Index:
     """Learn the index from labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")).where("y in (0, 1)")
     if folds_left_out:
@@ -408,7 +409,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p in words_of(batch.column("text")):
+            for p in words_of(batch.column("text"), CHUNK_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(p.hashes).view(np.int64))], names=["h"])
 
     words = sample.select("text").mapInArrow(spelt, "h long").distinct().toArrow().column("h").to_numpy().view(np.uint64)  # words of the examples
@@ -468,6 +469,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary, text_col: str) -> tuple
 
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted, evidence (ids of the nearest examples), found (terms)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())), ("found", pa.list_(pa.string()))])
 
@@ -486,6 +488,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
 
 def keep_civil(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is under 0.5, all columns as they are."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     at, schema = docs.columns.index(text_col), docs.schema
 

@@ -797,3 +797,31 @@ def test_toxicity_scores_in_little_memory():
     tracemalloc.stop()
     assert np.allclose(scores, once) and len(scores) == 900
     assert peak < 24e6, peak
+
+
+def test_pipeline_deals_small_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows]), "bytes": pa.array([batch.nbytes])})
+
+    fresh = spark.newSession()
+    word = F.when(F.col("id") % 4 == 0, "vile").otherwise("kind")
+    docs = fresh.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(word, F.lit(" and some more words"), F.repeat(F.concat(F.lit(" w"), "id"), 700)).alias("text"))
+    docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.toxicity(fresh, docs, str(tmp_path)).count() == 2250
+    found = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == 3000 and sum(r["bytes"] for r in found) > 8e6
+    assert max(r["bytes"] for r in found) < 3e6
+    column = docs.limit(600).toArrow().column("text")
+    assert column.nbytes > 1e6 and max(len(part.data) for part in toxicity.words_of(column)) <= toxicity.PIECE
+    for stage in (corpus_pipeline.secrets, corpus_pipeline.packing):  # each by itself, and a size that was given holds
+        for given in (None, "5m"):
+            other = spark.newSession()
+            if given:
+                other.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", given)
+            stage(other, other.createDataFrame([(1, "a text")], "doc_id long, text string"), "")
+            assert other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == (given or str(2 << 20))
